@@ -1 +1,370 @@
-"""Placeholder."""
+"""Near-duplicates by an exact n-gram Jaccard join: grouped prefix filtering, then connected components.
+
+1. Every text becomes its set of hashed word shingles; documents with the same set are one group
+   from here on (``sid``, a fingerprint of the set), so exact copies cost nothing.
+2. Shingles are ordered globally by frequency, rarest first, ties by hash. Frequencies come from
+   a counter array of fixed size over all texts; an order need only be the same everywhere to
+   keep prefix filtering exact, so counters shared by several shingles do no harm.
+3. Groups whose prefixes share a shingle may link. Prefix entries are dealt by shingle; those
+   that no second group holds are dropped at once.
+4. Group pairs are filtered by size and by a parity bitmap, whose Hamming distance never exceeds
+   the sets' symmetric difference, and the survivors are verified on the full sets.
+   First each group tries its most promising partners; components of those links then make most
+   of the other pairs needless, and every pair that still joins two components is verified.
+   Shingles with many holders are cut into blocks, compared block by block.
+5. Components of the links, spread to the members of each group.
+
+Nothing but fixed-size arrays (the counters, a bitmap of wanted fingerprints) reaches the driver.
+Hashes and fingerprints have 64 bits; equal hashes of different shingles are taken as equal.
+
+Defined results: null, empty and blank texts have the empty set and stand alone; a text with
+fewer words than a shingle has one; rows with equal ids are documents of their own, and a
+component's id is its smallest non-null document id; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from weftmark.llm.common import Scratch, map_rows, schema_of, shuffle_width
+from weftmark.llm.components import components
+from weftmark.llm.shingles import set_id, shingles
+
+#: Counters of the frequency order, and the slices in which they travel.
+SKETCH_BITS, SLICES = 20, 64
+#: Bits of the bitmap that picks the sets to verify, and of a group's parity bitmap.
+WANTED_BITS, PARITY_WORDS = 24, 16
+#: Groups of one shingle that are compared in one block; prefix entries and pair rows for one task.
+BLOCK, TASK_ENTRIES, TASK_ROWS = 512, 400_000, 30_000
+
+
+def _add_up(parts: DataFrame, or_: bool, kind: str, total: int) -> np.ndarray:
+    """Sum (or OR) fixed-size slices (slice int, data binary) of many tasks; each task that gathers them holds one array a slice."""
+    out = schema_of("slice int, data binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = np.frombuffer(data.as_buffer(), kind)
+                if k not in held:
+                    held[k] = x.copy()
+                elif or_:
+                    held[k] |= x
+                else:
+                    held[k] += x
+        if held:
+            columns = [pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=to_arrow_schema(out))
+
+    rows = parts.repartition(min(SLICES, shuffle_width(parts.sparkSession)), "slice").mapInArrow(run, out).collect()  # one row a slice: fixed size
+    whole = np.zeros(total, kind)
+    size = total // SLICES
+    for r in rows:
+        whole[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["data"], kind)
+    return whole
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """Parity of the number of hashes in each of the bitmap's cells."""
+    cells = np.bincount((hashes & np.uint64(PARITY_WORDS * 64 - 1)).astype(np.int64), minlength=PARITY_WORDS * 64)
+    return np.packbits((cells & 1).astype(np.uint8)).tobytes()
+
+
+def _scan(texts: DataFrame, width: int) -> DataFrame:
+    """A row (doc_id, n, sid, parity) for each document, and the task's frequency counters in slices."""
+    out = schema_of("doc_id long, n long, sid long, parity binary, slice int, data binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(out)
+        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        emit = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingles(t, width) for t in part.column(1).to_pylist()]
+                every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+                counts += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+                none = [None] * len(sets)
+                yield emit(part.column(0), [len(s) for s in sets], [set_id(s) for s in sets], [parity(s) for s in sets], none, none)
+        size = len(counts) // SLICES
+        none = [None] * SLICES
+        yield emit(none, none, none, none, range(SLICES), [counts[k * size : (k + 1) * size].tobytes() for k in range(SLICES)])
+
+    return texts.mapInArrow(run, out)
+
+
+def prefix_length(n: int, pct: int) -> int:
+    return n + (-pct * n) // 100 + 1
+
+
+def _entries(texts: DataFrame, width: int, pct: int, counters, buckets: int, hot: int) -> DataFrame:
+    """Prefix entries of every group, packed by bucket: group count, then per group sid, size, entries, then the shingles.
+    Shingles that more than ``hot`` groups may hold are dealt to several buckets by group."""
+
+    def start():
+        counts = counters.value
+        seen: set[int] = set()
+
+        def step(cols):
+            sids, sizes, ks, tokens = [], [], [], []
+            for text in cols[0]:
+                s = shingles(text, width)
+                if not len(s) or (sid := set_id(s)) in seen:
+                    continue
+                if len(seen) < 2_000_000:
+                    seen.add(sid)
+                k = prefix_length(len(s), pct)
+                often = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                pick = np.lexsort((s, often))[:k] if k < len(s) else slice(None)
+                tokens.append(s[pick])
+                sids.append(sid)
+                sizes.append(len(s))
+                ks.append(k)
+            if not sids:
+                return []
+            token = np.concatenate(tokens)
+            owner = np.repeat(np.arange(len(sids)), ks)
+            sid, size = np.array(sids, np.int64), np.array(sizes, np.int64)
+            often = counts[(token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            salts = np.maximum(-(-often // hot), 1).astype(np.uint64)
+            salt = (sid[owner].astype(np.uint64) >> np.uint64(8)) % salts
+            bucket = ((token >> np.uint64(8)) + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)
+            order = np.lexsort((owner, bucket))
+            token, owner, bucket = token[order], owner[order], bucket[order]
+            edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            rows = []
+            for a, b in zip(edges, np.append(edges[1:], len(bucket))):
+                who, n = np.unique(owner[a:b], return_counts=True)
+                head = np.array([len(who)], "<i8").tobytes() + sid[who].tobytes() + size[who].tobytes() + n.astype("<i8").astype("<i4").tobytes()
+                rows.append((int(bucket[a]), head + token[a:b].tobytes()))
+            return rows
+
+        return step
+
+    return map_rows(texts, "bucket long, data binary", start)
+
+
+def _shared(entries: DataFrame, counters, hot: int) -> DataFrame:
+    """(token, sid, n, holders): entries whose shingle two groups or more hold."""
+    out = "token long, sid long, n long, holders long"
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        tokens, sids, sizes = [], [], []
+        for data in pdf["data"]:
+            g = int(np.frombuffer(data, "<i8", 1)[0])
+            sid, size = np.frombuffer(data, "<i8", g, 8), np.frombuffer(data, "<i8", g, 8 + 8 * g)
+            n = np.frombuffer(data, "<i4", g, 8 + 16 * g)
+            tokens.append(np.frombuffer(data[8 + 20 * g :], np.uint64))
+            sids.append(np.repeat(sid, n))
+            sizes.append(np.repeat(size, n))
+        token, sid, n = np.concatenate(tokens), np.concatenate(sids), np.concatenate(sizes)
+        order = np.lexsort((sid, token))
+        token, sid, n = token[order], sid[order], n[order]
+        new = np.append(True, (token[1:] != token[:-1]) | (sid[1:] != sid[:-1]))  # tasks may have sent the same group
+        token, sid, n = token[new], sid[new], n[new]
+        first = np.append(True, token[1:] != token[:-1])
+        held = np.diff(np.append(np.flatnonzero(first), len(token)))[np.cumsum(first) - 1]
+        often = counters.value[(token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+        held = np.where(often > hot, often, held)  # dealt to several buckets: all that is known is the bound
+        some = held > 1
+        return pd.DataFrame({"token": token[some].astype(np.int64), "sid": sid[some], "n": n[some], "holders": held[some]})
+
+    return entries.groupBy("bucket").applyInPandas(merge, out)
+
+
+def _pairs(rows: DataFrame, pct: int, total: int, best: int | None) -> DataFrame:
+    """Group pairs (a < b, slack) that share a shingle, lie in different components and pass the size and bitmap filters.
+
+    ``rows``: token, sid, n, holders, comp, parity. A shingle's groups are dealt to blocks; with ``best``, neighbouring
+    blocks only are compared and each group keeps its ``best`` partners there; else all blocks are, and all pairs kept."""
+    n_blocks = F.ceil(F.col("holders") / BLOCK)
+    mine = F.pmod(F.xxhash64("sid"), n_blocks)
+    others = F.sequence(F.lit(0).cast("long"), n_blocks - 1) if best is None else F.array_distinct(F.array(mine, (mine + 1) % n_blocks, (mine + n_blocks - 1) % n_blocks))
+    cells = rows.withColumn("mine", mine).withColumn("other", F.explode(others))
+    cell = F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other"))
+    buckets = max(shuffle_width(rows.sparkSession), -(-total // TASK_ROWS))
+    dealt = cells.select(cell.alias("cell"), F.pmod(F.xxhash64(cell), F.lit(buckets)).alias("bucket"), "sid", "n", "comp", "parity", (F.col("mine") <= F.col("other")).alias("low"), (F.col("mine") >= F.col("other")).alias("high"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["cell", "sid"], kind="stable")
+        sid, who = np.unique(pdf["sid"].to_numpy(), return_inverse=True)
+        at = np.zeros(len(sid), np.int64)
+        at[who] = np.arange(len(pdf))
+        size, comp = pdf["n"].to_numpy()[at], pdf["comp"].to_numpy()[at]
+        bits = np.frombuffer(b"".join(pdf["parity"].iloc[at]), np.uint64).reshape(len(sid), PARITY_WORDS)
+        cell = pdf["cell"].to_numpy()
+        low, high = pdf["low"].to_numpy(), pdf["high"].to_numpy()
+        edges = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        found = np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+        weight = 0
+
+        def settle() -> np.ndarray:
+            keys = np.unique(np.concatenate([found, *held]))
+            a, b = keys // len(sid), keys % len(sid)
+            big, small = np.maximum(size[a], size[b]), np.minimum(size[a], size[b])
+            return keys[(comp[a] != comp[b]) & (100 * small >= pct * big)]
+
+        ends = np.append(edges[1:], len(cell))
+        width = ends - edges
+        for m in np.unique(width):  # cells of one width at a time, without a Python step for each
+            if m < 2:
+                continue
+            starts = edges[width == m]
+            for some in np.array_split(starts, max(1, len(starts) * m * m // 2_000_000)):
+                i, j = np.triu_indices(m, 1)
+                x, y = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
+                apart = (low[x] & high[y]) | (low[y] & high[x])  # one from each of the cell's two blocks
+                a, b = who[x[apart]], who[y[apart]]
+                held.append(np.minimum(a, b) * len(sid) + np.maximum(a, b))
+                weight += len(a)
+                if weight > 4_000_000:
+                    found, held, weight = settle(), [], 0
+        keys = settle() if held or len(found) else found
+        slacks = []
+        for some in np.array_split(keys, max(1, len(keys) // 200_000)):
+            a, b = some // len(sid), some % len(sid)
+            apart = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+            both = size[a] + size[b]
+            slacks.append((both - apart) // 2 + (-pct * both) // (100 + pct))
+        slack = np.concatenate(slacks) if slacks else np.zeros(0, np.int64)
+        keys, slack = keys[slack >= 0], slack[slack >= 0]
+        a, b = keys // len(sid), keys % len(sid)
+        if best is not None and len(keys):
+            ends_, row = np.concatenate([a, b]), np.tile(np.arange(len(keys)), 2)
+            order = np.lexsort((row, -slack[row], ends_))
+            ends_, row = ends_[order], row[order]
+            first = np.flatnonzero(np.append(True, ends_[1:] != ends_[:-1]))
+            rank = np.arange(len(ends_)) - np.repeat(first, np.diff(np.append(first, len(ends_))))
+            chosen = np.unique(row[rank < best])
+            a, b, slack = a[chosen], b[chosen], slack[chosen]
+        return pd.DataFrame({"a": sid[a], "b": sid[b], "slack": slack})
+
+    return dealt.groupBy("bucket").applyInPandas(compare, "a long, b long, slack long")
+
+
+def _sets(texts: DataFrame, width: int, wanted) -> DataFrame:
+    """(sid, shingles) of the groups whose fingerprint the bitmap may hold, once a task and group."""
+
+    def start():
+        bits = wanted.value
+        seen: set[int] = set()
+
+        def step(cols):
+            out = []
+            for text in cols[0]:
+                s = shingles(text, width)
+                if not len(s):
+                    continue
+                sid = set_id(s)
+                cell = sid & ((1 << WANTED_BITS) - 1)
+                if bits[cell >> 3] >> (cell & 7) & 1 and sid not in seen:
+                    if len(seen) < 2_000_000:
+                        seen.add(sid)
+                    out.append((sid, s.tobytes()))
+            return out
+
+        return step
+
+    return map_rows(texts, "sid long, hashes binary", start)
+
+
+def _wanted(sids: DataFrame) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << WANTED_BITS, bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy() & ((1 << WANTED_BITS) - 1)] = True
+        packed = np.packbits(bits, bitorder="little")
+        size = len(packed) // SLICES
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([packed[k * size : (k + 1) * size].tobytes() for k in range(SLICES)], pa.binary())], names=["slice", "data"])
+
+    return _add_up(sids.mapInArrow(run, "slice int, data binary"), True, "u1", 1 << (WANTED_BITS - 3))
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    left = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x"))
+    right = sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+
+    def start():
+        def step(cols):
+            out = []
+            for a, b, x, y in zip(*cols):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                z = np.concatenate([x, y])
+                z.sort(kind="stable")
+                shared = int((z[1:] == z[:-1]).sum())
+                if (100 + pct) * shared >= pct * len(z):
+                    out.append((a, b))
+            return out
+
+        return step
+
+    return map_rows(both.select("a", "b", "x", "y"), "a long, b long", start)
+
+
+def near_duplicates(df: DataFrame, width: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row: documents link from a Jaccard similarity of ``pct`` percent."""
+    spark: SparkSession = df.sparkSession
+    scratch = scratch or Scratch(spark, "setjoin")
+    context = spark.sparkContext
+    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = source.select("text")
+
+    scanned = scratch.write(_scan(source, width), "scan")
+    documents = scanned.where("slice is null")
+    counters = context.broadcast(_add_up(scanned.where("slice is not null").select("slice", "data"), False, "i8", 1 << SKETCH_BITS))
+    words = documents.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).first()
+    total = (words["n"] or 0) * (100 - pct) // 100 + words["d"]
+    buckets = max(shuffle_width(spark), -(-total // TASK_ENTRIES))
+    hot = TASK_ENTRIES // 4
+    shared = scratch.write(_shared(_entries(texts, width, pct, counters, buckets, hot), counters, hot), "shared")
+    n_shared = shared.count()
+
+    parities = documents.where("n > 0").groupBy("sid").agg(F.first("parity").alias("parity"))
+    first = scratch.write(_pairs(shared.withColumn("comp", F.col("sid")).join(parities, "sid"), pct, n_shared, best=2), "tried")
+    # of the partners found under its shingles each group tries the two most promising ones
+    ends = first.groupBy("a", "b").agg(F.max("slack").alias("slack")).select("a", "b", "slack", F.explode(F.array("a", "b")).alias("who"))
+    chosen = ends.groupBy("who").agg(F.max_by(F.struct("a", "b"), F.struct("slack", "a", "b")).alias("p"), F.min_by(F.struct("a", "b"), F.struct("slack", "a", "b")).alias("q"))
+    tried = scratch.write(chosen.select(F.explode(F.array("p", "q")).alias("p")).select("p.a", "p.b").distinct(), "chosen")
+    wanted = context.broadcast(_wanted(first.select(F.explode(F.array("a", "b")).alias("sid"))))
+    sets = scratch.write(_sets(texts, width, wanted), "sets").groupBy("sid").agg(F.first("hashes").alias("hashes"))
+    links = scratch.write(_verify(tried, sets, pct), "links")
+    roots = scratch.write(components(links, scratch), "roots")
+
+    known = shared.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid"))
+    mixed = known.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+    open_ = known.join(mixed, "token", "left_semi").join(parities, "sid")
+    rest = _pairs(open_, pct, n_shared, best=None).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    more = scratch.write(_verify(rest, sets, pct), "more")
+    if more.isEmpty():
+        final = roots
+    else:
+        final = scratch.write(components(links.unionByName(more), scratch), "final")
+
+    # ids of components are smallest document ids: per group first, then per component
+    named = documents.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"))
+    named = named.join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    by_group = named.select("sid", "root").join(lowest, "root").select("sid", "component_id")
+    out = documents.where("n > 0").select("doc_id", "n", "sid").join(by_group, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = documents.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone)
+
+
+def keep_one(df: DataFrame, width: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose id is their component's: one document of each group, with all columns.
+    Rows that share an id are kept or dropped together."""
+    scratch = Scratch(df.sparkSession, "setjoin")
+    groups = near_duplicates(df, width, pct, id_col, text_col, scratch)
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return df.join(gone.withColumnRenamed("doc_id", "_gone"), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
