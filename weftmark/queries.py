@@ -5,6 +5,367 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftmark.functions import css, encoding, text, url
+from weftmark.operators import cascade, dom, nodes
+from weftmark.plans import matching
+from weftmark.plans import selectors as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if oracle:
+            ORACLE_SQL[fn.__name__] = oracle
+        return fn
+
+    return register
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages; spread over the cluster where the files alone would leave most of it idle (small inputs only)."""
+    df = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    wide = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wide else df.repartition(wide)
+
+
+def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes.html_nodes(pages(spark, sf_dir).select("page_id", "html"))
+
+
+def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def sql_rows(rows: list[tuple], names: str) -> str:
+    """Golden rows as SQL."""
+
+    def one(v) -> str:
+        if v is None:
+            return "NULL"
+        return str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({names})"
+
+
+_DECODE = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+_BODY = r"regexp_replace(regexp_replace(html, '<style>.*?</style>', '', 'gs'), '<script>.*?</script>', '', 'gs')"
+_ARTICLE = "regexp_extract(html, '<article>(.*)</article>', 1, 's')"
+
+
+# ---- documents and nodes ------------------------------------------------------------------------------------------------
+@query(
+    f"""SELECT regexp_extract(url, '://([^/]+)', 1) AS host, count(*) AS pages,
+    CAST(sum(len(regexp_extract_all({_ARTICLE}, '<p>'))) AS BIGINT) AS paragraphs,
+    CAST(sum(length({_DECODE.format(f"regexp_replace({_ARTICLE}, '<[^>]*>', '', 'g')")})) AS BIGINT) AS chars
+    FROM pages GROUP BY 1"""
+)
+def flagship_article_stats(spark, sf_dir):
+    """Paragraphs and text length of the articles by host: parse, selector, structural aggregation, join to URLs."""
+    marked = matching.Compiler(node_table(spark, sf_dir))
+    p = marked.mark(S.parse("article p").selectors[0])
+    inside = marked.mark(S.parse("article").selectors[0])
+    order = marked.order.rowsBetween(matching.Window.unboundedPreceding, -1)
+    below = F.max(F.when(F.col(inside), F.col("subtree_end"))).over(order) >= F.col("node_id")
+    rows = marked.df.select("doc_id", F.col(p).alias("p"), F.when((F.col("kind") == "text") & below, F.length("data")).otherwise(0).alias("n"))
+    per_page = rows.groupBy("doc_id").agg(F.count_if("p").alias("paragraphs"), F.sum("n").alias("chars"))
+    hosts = pages(spark, sf_dir).select(F.col("page_id").alias("doc_id"), url.url_parse(F.col("url"))["host"].alias("host"))
+    return per_page.join(hosts, "doc_id").groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum("paragraphs").alias("paragraphs"), F.sum("chars").alias("chars"))
+
+
+@query(f"SELECT page_id, {_DECODE.format("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} AS title FROM pages")
+def page_title(spark, sf_dir):
+    n = matching.find(node_table(spark, sf_dir), "title", root="head").select("doc_id", "node_id")
+    return nodes.text_content(node_table(spark, sf_dir).where("root = 'head'")).join(n, ["doc_id", "node_id"]).select(F.col("doc_id").alias("page_id"), F.col("text").alias("title"))
+
+
+@query(r"""SELECT page_id, CAST(i AS INTEGER) AS ord, hrefs[i] AS href, texts[i] AS text FROM (
+    SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hrefs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS texts FROM pages), range(1, 1000) r(i)
+    WHERE i <= len(hrefs)""")
+def page_links(spark, sf_dir):
+    n = node_table(spark, sf_dir)
+    links = matching.find(n, "a[href]").select("doc_id", "node_id", nodes.attr("attrs", "href").alias("href"))
+    texts = n.where("kind = 'text'").select("doc_id", F.col("parent_id").alias("node_id"), F.col("data").alias("text"))
+    rank = F.row_number().over(matching.Window.partitionBy("doc_id").orderBy("node_id"))
+    return links.join(texts, ["doc_id", "node_id"]).select(F.col("doc_id").alias("page_id"), rank.alias("ord"), "href", "text")
+
+
+@query(rf"""SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_BODY.replace("'<style>.*?</style>', ''", "'<style>.*?</style>', '<style>'").replace("'<script>.*?</script>', ''", "'<script>.*?</script>', '<script>'")}, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages)
+    WHERE tag NOT IN ('html', 'head') GROUP BY tag""")
+def tag_histogram(spark, sf_dir):
+    return node_table(spark, sf_dir).where("kind = 'element'").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(html, '^<!DOCTYPE html>', ''), '.*', 'html', 's') AS doctype, false AS quirks, 'body' AS body_tag, regexp_extract(html, '<html lang=\"([^\"]*)\">', 1) AS lang FROM pages")
+def page_docs(spark, sf_dir):
+    d = nodes.html_docs(pages(spark, sf_dir))
+    return d.select(F.col("doc_id").alias("page_id"), F.col("doctype.name").alias("doctype"), "quirks", "body_tag", nodes.attr("html_attrs", "lang").alias("lang"))
+
+
+@query(f"SELECT page_id, {_DECODE.format("regexp_extract(html, '<footer>(.*?)</footer>', 1, 's')")} AS footer FROM pages")
+def text_decoded_footer(spark, sf_dir):
+    n = node_table(spark, sf_dir)
+    footers = dom.by_tag(n, "footer").select("doc_id", F.col("node_id").alias("parent_id"))
+    texts = n.where("kind = 'text'").join(footers, ["doc_id", "parent_id"])
+    return texts.select(F.col("doc_id").alias("page_id"), F.col("data").alias("footer"))
+
+
+@query("SELECT page_id, '<nav>' || regexp_extract(html, '<nav>(.*?)</nav>', 1, 's') || '</nav>' AS html FROM pages")
+def serialize_nav(spark, sf_dir):
+    n = node_table(spark, sf_dir)
+    navs = dom.by_tag(n, "nav").select("doc_id", "node_id")
+    return nodes.node_html(n).join(navs, ["doc_id", "node_id"]).select(F.col("doc_id").alias("page_id"), "html")
+
+
+@query("SELECT page_id, true AS stable FROM pages")
+def serialize_stable(spark, sf_dir):
+    """Writing a parsed page and reading it again changes nothing."""
+    once = pages(spark, sf_dir).select("page_id", nodes.serialize_html(F.col("html")).alias("a"))
+    return once.select("page_id", (nodes.serialize_html(F.col("a")) == F.col("a")).alias("stable"))
+
+
+# ---- selectors ------------------------------------------------------------------------------------------------------------
+_LINKS = "len(regexp_extract_all(html, '<a href='))"
+_P = f"len(regexp_extract_all({_ARTICLE}, '<p>'))"
+for _name, _selector, _sql in (
+    ("sel_type", "li", _LINKS), ("sel_descendant", "nav a", _LINKS), ("sel_child", "nav > ul > li > a", _LINKS), ("sel_nth", "li:nth-child(2n+1)", f"({_LINKS} + 1) // 2"),
+    ("sel_has", "li:has(> a)", _LINKS), ("sel_not", "li:not(:first-child)", f"{_LINKS} - 1"), ("sel_adjacent", "li + li", f"{_LINKS} - 1"), ("sel_sibling", "h1 ~ p", _P),
+    ("sel_list_duplicates", "li, nav li", f"2 * {_LINKS}"), ("sel_attr_prefix", 'a[href^="/"]', "len(regexp_extract_all(html, '<a href=\"/'))"), ("sel_class", "div.ad", "len(regexp_extract_all(html, '<div class=\"ad\">'))"),
+    ("sel_is", "article :is(h1, p)", f"{_P} + 1"), ("sel_last_of_type", "p:last-of-type", "1"), ("sel_root_child", ":root > article", "1"), ("sel_nth_of", "li:nth-child(2 of li)", f"CAST({_LINKS} >= 2 AS INTEGER)"),
+    ("sel_has_descendant", "body:has(article b)", "1"), ("sel_link", "nav :any-link:not([href='#'])", _LINKS),
+):
+
+    def _selected(spark, sf_dir, selector=_selector):
+        found = matching.find(node_table(spark, sf_dir), selector)
+        return found.groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("n"))
+
+    _selected.__name__ = _name
+    QUERIES[_name] = _selected
+    ORACLE_SQL[_name] = f"SELECT page_id, CAST({_sql} AS BIGINT) AS n FROM pages WHERE {_sql} > 0"
+
+_PARSED = [("div  >p.a#b[ x = 'y' i ]", "div > p#b.a[x=\"y\"i]", 1, 2, 2), ("a:not(.b, #c)", "a:not(.b, #c)", 1, 0, 1), ("li:nth-child(even)", "li:nth-child(2n)", 0, 1, 1), (":where(#a) b", ":where(#a) b", 0, 0, 1), ("a::after", "", None, None, None), ("p >", "", None, None, None), ("*", "*", 0, 0, 0), ("a:is(b, :bad)", "a:is(b)", 0, 0, 2)]
+
+
+@query(sql_rows(_PARSED, "selector, value, a, b, c"))
+def selector_parse(spark, sf_dir):
+    """Normalised text and specificity of selectors, read on the driver."""
+    rows = [(s, S.parse(s).value, *(S.list_specificity(s) or (None,) * 3)) for s, *_ in _PARSED]
+    return literal(spark, rows, "selector string, value string, a int, b int, c int")
+
+
+# ---- DOM ----------------------------------------------------------------------------------------------------------------
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, 'class=\"ad\"')) AS BIGINT) AS n FROM pages")
+def dom_by_class(spark, sf_dir):
+    return dom.by_class(node_table(spark, sf_dir), "ad").groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT page_id, CAST({_LINKS} AS INTEGER) AS n FROM pages")
+def dom_child_nodes(spark, sf_dir):
+    n = node_table(spark, sf_dir)
+    lists = dom.by_tag(n, "ul").select("doc_id", "node_id")
+    return dom.child_nodes(n).join(lists, ["doc_id", "node_id"]).select(F.col("doc_id").alias("page_id"), F.size("children").alias("n"))
+
+
+@query("SELECT page_id, 0 AS ads, 'x' AS note FROM pages")
+def dom_edit(spark, sf_dir):
+    """Remove every ad and note it at the body: an edit log replayed per document."""
+    n = node_table(spark, sf_dir)
+    gone = dom.by_class(n, "ad").select("doc_id", F.lit(1).alias("ord"), F.lit("remove").alias("op"), F.col("node_id").alias("ref"), F.lit(None).cast(nodes.ATTRS).alias("attrs"))
+    noted = n.where("root = 'doc' AND parent_id = 0 AND tag = 'body'").select("doc_id", F.lit(2), F.lit("set_attr"), "node_id", F.array(F.struct(F.lit("note").alias("name"), F.lit("x").alias("value"))))
+    log = gone.union(noted).select("doc_id", "ord", "op", F.lit(None).cast("int").alias("node"), "ref", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("tag"), "attrs", F.lit(None).cast("string").alias("data"))
+    after = dom.apply_edits(n, log)
+    ad = F.exists("attrs", lambda a: (a["name"] == "class") & (a["value"] == "ad"))
+    return after.groupBy(F.col("doc_id").alias("page_id")).agg(F.count_if(F.coalesce(ad, F.lit(False))).cast("int").alias("ads"), F.max(nodes.attr("attrs", "note")).alias("note"))
+
+
+# ---- CSS ----------------------------------------------------------------------------------------------------------------
+@query(f"SELECT page_id, 'margin: 0' AS style, CAST({_P} AS BIGINT) AS n FROM pages WHERE {_P} > 0")
+def computed_style_p(spark, sf_dir):
+    n = node_table(spark, sf_dir)
+    styles = cascade.computed_style(n)
+    return styles.groupBy(F.col("doc_id").alias("page_id"), "style").agg(F.count(F.lit(1)).alias("n"))
+
+
+_DECLARED = [
+    ("WIDTH: 10PX !important", "property", "width", "10px", True), ("color: RGB(1,2,3)", "property", "color", "rgb(1, 2, 3)", False), ("padding: auto", "undef", "padding", "auto", False),
+    ("margin: auto 0 -1px", "property", "margin", "auto 0 -1px", False), ("--x: 1", "custom", "--x", "1", False), ("nonsense", "undef", "", "nonsense", False),
+    ("border: 1px solid Red", "property", "border", "1px solid red", False), ("font-family: Arial, 'Two Words'", "property", "font-family", 'Arial, "Two Words"', False),
+    ("float: snap-block(2em, near)", "property", "float", "snap-block(2em, near)", False), ("z-index: 9223372036854775808", "undef", "z-index", "9223372036854775808", False),
+    ("vertical-align: 5px baseline first", "property", "vertical-align", "first baseline 5px", False), ("opacity: 1.50e1", "property", "opacity", "15", False),
+]
+
+
+@query(sql_rows(_DECLARED, "css, type, name, value, important"))
+def css_declared(spark, sf_dir):
+    rows = literal(spark, [(r[0],) for r in _DECLARED], "css string")
+    return rows.select("css", F.inline(css.css_declarations(F.col("css"))))
+
+
+_TOKENS = "a{b:+1.50E1px url( x ) \"q\" #f1 @m 5% /*c*/"
+_TOKEN_ROWS = [(0, "ident", "a", 1), (1, "left-curly-bracket", "{", 1), (2, "ident", "b", 1), (3, "colon", ":", 1), (4, "dimension", "15px", 9), (5, "whitespace", " ", 1), (6, "url", "x", 8), (7, "whitespace", " ", 1), (8, "string", "q", 3), (9, "whitespace", " ", 1), (10, "hash", "f1", 3), (11, "whitespace", " ", 1), (12, "at-keyword", "m", 2), (13, "whitespace", " ", 1), (14, "percentage", "5%", 2), (15, "whitespace", " ", 1), (16, "comment", "c", 5)]
+
+
+@query(sql_rows(_TOKEN_ROWS, "ord, type, value, length"))
+def css_tokens(spark, sf_dir):
+    return css.token_rows(literal(spark, [(1, _TOKENS)], "id long, css string"), "id", "css").drop("id")
+
+
+@query("SELECT page_id, 1 AS rule_id, 0 AS parent_rule_id, 'p' AS prelude, 'margin:0' AS declarations FROM pages")
+def css_page_rules(spark, sf_dir):
+    sheets = cascade.style_sheets(node_table(spark, sf_dir))
+    return css.css_rules(sheets, "doc_id", "css").select(F.col("sheet_id").alias("page_id"), "rule_id", "parent_rule_id", "prelude", "declarations")
+
+
+_ANB = [("odd", "2n+1"), ("EVEN", "2n"), ("-n + 3", "-n+3"), ("+5", "5"), ("n-0", "n"), ("x", "")]
+
+
+@query(sql_rows(_ANB, "src, value"))
+def css_an_plus_b(spark, sf_dir):
+    rows = literal(spark, [(r[0],) for r in _ANB], "src string")
+    return rows.select("src", css.css_an_plus_b(F.col("src"))["value"].alias("value"))
+
+
+# ---- encodings ------------------------------------------------------------------------------------------------------------
+@query("SELECT page_id, 'UTF-8' AS encoding, 'DEFAULT' AS bom FROM pages")
+def charset_sniff(spark, sf_dir):
+    raw = pages(spark, sf_dir).select("page_id", F.encode("html", "UTF-8").alias("raw"))
+    return raw.select("page_id", encoding.sniff_encoding(F.col("raw")).alias("encoding"), encoding.bom_sniff(F.col("raw")).alias("bom"))
+
+
+@query("SELECT page_id, html FROM pages")
+def utf16_roundtrip(spark, sf_dir):
+    raw = pages(spark, sf_dir).select("page_id", encoding.encode_text(F.col("html"), "utf-16be").alias("raw"))
+    return raw.select("page_id", encoding.decode_bytes(F.col("raw"), "utf-16be")["text"].alias("html"))
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM documents")
+def latin1_bytes_decode(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", encoding.encode_text(F.col("text"), "latin1").alias("raw"))
+    return docs.select("doc_id", F.length(encoding.decode_bytes(F.col("raw"), F.lit("latin1"))["text"]).cast("long").alias("n"))
+
+
+_LABELS = [(" Latin1 ", "windows-1252"), ("utf8", "UTF-8"), ("x-sjis", "Shift_JIS"), ("no-such", None), ("csBig5", "Big5"), ("cp1251", "windows-1251"), ("l5", "windows-1254"), ("hz-gb-2312", "replacement")]
+
+
+@query(sql_rows(_LABELS, "label, name"))
+def encoding_labels(spark, sf_dir):
+    return literal(spark, [(r[0],) for r in _LABELS], "label string").select("label", encoding.encoding_name(F.col("label")).alias("name"))
+
+
+_CODED = [("shift_jis", "93FA967B", "日本"), ("euc-kr", "C7D1B1B9", "한국"), ("gbk", "D6D0", "中"), ("big5", "A4A4", "中"), ("iso-2022-jp", "1B2442467C1B284241", "日A"), ("windows-1252", "8081", "€\x81"), ("koi8-r", "D0", "п"), ("utf-8", "61FF62", "a�b"), ("euc-jp", "C6FC", "日"), ("gb18030", "94 39 DA 33".replace(" ", ""), "💩")]
+
+
+@query(sql_rows(_CODED, "label, hex, text"))
+def codecs_decode(spark, sf_dir):
+    rows = literal(spark, [r[:2] for r in _CODED], "label string, hex string")
+    return rows.select("label", "hex", encoding.decode_bytes(F.unhex("hex"), F.col("label"))["text"].alias("text"))
+
+
+# ---- URLs -----------------------------------------------------------------------------------------------------------------
+@query(r"""SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) AS scheme, regexp_extract(url, '://([^/?#]+)', 1) AS host, regexp_extract(url, '://[^/]+(/[^?#]*)', 1) AS path,
+    CASE WHEN contains(url, '?') THEN regexp_extract(url, '\?([^#]*)', 1) END AS query, CASE WHEN contains(url, '#') THEN regexp_extract(url, '#(.*)$', 1) END AS fragment FROM pages""")
+def url_parts(spark, sf_dir):
+    u = pages(spark, sf_dir).select("page_id", url.url_parse(F.col("url")).alias("u"))
+    return u.select("page_id", "u.scheme", "u.host", "u.path", "u.query", "u.fragment")
+
+
+@query("SELECT page_id, url AS href FROM pages")
+def url_serialize(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", url.url_text(url.url_parse(F.col("url"))).alias("href"))
+
+
+@query(r"""SELECT page_id, CAST(i AS INTEGER) AS ord, split_part(p[i], '=', 1) AS name, split_part(p[i], '=', 2) AS value FROM (
+    SELECT page_id, string_split(regexp_extract(url, '\?([^#]*)', 1), '&') AS p FROM pages WHERE contains(url, '?')), range(1, 20) r(i) WHERE i <= len(p)""")
+def url_params(spark, sf_dir):
+    u = pages(spark, sf_dir).select("page_id", url.url_parse(F.col("url"))["query"].alias("q")).where("q IS NOT NULL")
+    rows = u.select("page_id", F.posexplode(url.params(F.col("q"))).alias("i", "p"))
+    return rows.select("page_id", (F.col("i") + 1).alias("ord"), "p.name", "p.value")
+
+
+@query(r"""SELECT regexp_extract(url, '://([^/]+)', 1) AS host, count(*) AS n FROM (
+    SELECT url, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) FROM pages) GROUP BY 1""")
+def link_graph(spark, sf_dir):
+    """Links resolved against their page, by host."""
+    links = matching.find(node_table(spark, sf_dir), "a[href]").select("doc_id", nodes.attr("attrs", "href").alias("href"))
+    base = pages(spark, sf_dir).select(F.col("page_id").alias("doc_id"), "url")
+    full = links.join(base, "doc_id").select(url.url_resolve(F.col("href"), F.col("url")).alias("u"))
+    return full.select(url.url_parse(F.col("u"))["host"].alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH h AS (SELECT string_split(regexp_extract(url, '://([^/]+)', 1), '.') AS d FROM pages)
+    SELECT d[-1] AS tld, d[-3] AS name, count(*) AS n FROM h GROUP BY ROLLUP (d[-1], d[-3])""")
+def host_rollup(spark, sf_dir):
+    d = pages(spark, sf_dir).select(F.split(url.url_parse(F.col("url"))["host"], r"\.").alias("d"))
+    parts = d.select(F.element_at("d", -1).alias("tld"), F.element_at("d", -3).alias("name"))
+    return parts.rollup("tld", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+_URLS = [
+    ("HTTP://ExAmple.com:80/a/./b/../c?x=1 2'#f g", None, "http://example.com:80/a/c?x=1%202%27#f%20g"), ("//h/p", "https://e.com/x", "https://h/p"), ("/a b", "https://e.com:8/x?q", "https://e.com:8/a%20b"),
+    ("a/b", "https://e.com", None), ("http://0x7f.1/", None, "http://127.0.0.1/"), ("http://[1:0:0::2]/", None, "http://[1::2]/"), ("mailto:a@b c", None, "mailto:a@b c"),
+    ("file:///C|/x/..", None, "file:///C:/"), ("http://bücher.de/ü?ü", None, "http://xn--bcher-kva.de/%C3%BC?%C3%BC"), ("http://1.2.3.256/", None, None), ("foo://H/..", None, "foo://H/"),
+]
+
+
+@query(sql_rows(_URLS, "url, base, href"))
+def url_golden(spark, sf_dir):
+    rows = literal(spark, [r[:2] for r in _URLS], "url string, base string")
+    return rows.select("url", "base", url.url_text(url.url_parse(F.col("url"), F.col("base"))).alias("href"))
+
+
+_SETTERS = [
+    ("http://e.com/x", "port", "8080", "http://e.com:8080/x"), ("http://e.com:9/x", "port", "80", "http://e.com/x"), ("http://e.com/x", "host", "h:99999", "http://e.com/x"),
+    ("http://e.com/", "pathname", "a b?#", "http://e.com/a%20b%3F%23"), ("http://e.com/", "search", "?q=1'", "http://e.com/?q=1%27"), ("http://e.com/", "protocol", "ftp:", "ftp://e.com/"),
+    ("http://e.com/", "protocol", "foo", "http://e.com/"), ("http://e.com/", "username", "a@b", "http://a%40b@e.com/"), ("http://e.com/#x", "hash", "", "http://e.com/"), ("http://e.com/", "hostname", "f.org", "http://f.org/"),
+]
+
+
+@query(sql_rows(_SETTERS, "url, part, value, href"))
+def url_setters(spark, sf_dir):
+    rows = literal(spark, [r[:3] for r in _SETTERS], "url string, part string, value string")
+    return rows.select("*", url.url_set(F.col("url"), F.col("part"), F.col("value")).alias("href"))
+
+
+_PARAMS = [("?b=2&a=1&b=3", "a=1&b=2&b=3", "b=9&a=1", "2"), ("a=x+y%20z", "a=x+y+z", "a=x+y+z&b=9", None), ("", "", "b=9", None), ("b", "b=", "b=9", "")]
+
+
+@query(sql_rows(_PARAMS, "query, sorted, with_b, first_b"))
+def search_params(spark, sf_dir):
+    p = url.params(F.col("query"))
+    rows = literal(spark, [r[:1] for r in _PARAMS], "query string")
+    return rows.select("query", url.params_text(url.params_sort(p)).alias("sorted"), url.params_text(url.params_set(p, "b", "9")).alias("with_b"), url.params_get(p, "b").alias("first_b"))
+
+
+# ---- Unicode ----------------------------------------------------------------------------------------------------------------
+@query("SELECT doc_id, true AS same FROM documents")
+def nfd_roundtrip(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return docs.select("doc_id", (text.normalize_unicode(text.normalize_unicode(F.col("text"), "NFD"), "NFC") == F.col("text")).alias("same"))
+
+
+@query("SELECT doc_id, CAST(length(nfc_normalize(text)) AS BIGINT) AS n FROM documents")
+def nfkc_length(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.length(text.normalize_unicode(F.col("text"), "NFKC")).cast("long").alias("n"))
+
+
+_HOSTS = [("Bücher.de", "xn--bcher-kva.de", "bücher.de"), ("xn--bcher-kva.de", "xn--bcher-kva.de", "bücher.de"), ("faß.de", "xn--fa-hia.de", "faß.de"), ("a_b.com", None, None), ("EXAMPLE。com", "example.com", "example.com"), ("xn--", None, None)]
+
+
+@query(sql_rows(_HOSTS, "host, ascii, unicode"))
+def idna(spark, sf_dir):
+    rows = literal(spark, [r[:1] for r in _HOSTS], "host string")
+    return rows.select("host", text.idna_to_ascii(F.col("host")).alias("ascii"), text.idna_to_unicode(F.col("host")).alias("unicode"))
+
+
+_PUNY = [("bücher", "bcher-kva"), ("ü", "tda"), ("abc", "abc-"), ("他们为什么不说中文", "ihqwcrb4cv8a8dqg056pqjye")]
+
+
+@query(sql_rows(_PUNY, "unicode, puny"))
+def punycode(spark, sf_dir):
+    rows = literal(spark, [r[:1] for r in _PUNY], "unicode string")
+    return rows.select(text.punycode_to_unicode(text.punycode_to_ascii(F.col("unicode"))).alias("unicode"), text.punycode_to_ascii(F.col("unicode")).alias("puny"))
