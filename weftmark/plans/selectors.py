@@ -67,7 +67,7 @@ class Parsed:
     selectors: tuple[Complex, ...] = ()
 
 
-_NAME = re.compile(r"(?:-?(?:[A-Za-z_]|[^\x00-\x7F]|\\[^\n])|--)(?:[\w-]|[^\x00-\x7F]|\\[0-9A-Fa-f]{1,6}\s?|\\[^\n])*", re.A)
+_NAME = re.compile(r"(?:-?(?:[A-Za-z_]|[^\x00-\x7F]|\\[0-9A-Fa-f]{1,6}\s?|\\[^\n])|--)(?:[\w-]|[^\x00-\x7F]|\\[0-9A-Fa-f]{1,6}\s?|\\[^\n])*", re.A)
 _HASH = re.compile(r"(?:[\w-]|[^\x00-\x7F]|\\[0-9A-Fa-f]{1,6}\s?|\\[^\n])+", re.A)
 _ESCAPE = re.compile(r"\\(?:([0-9A-Fa-f]{1,6})[\t\n\f\r ]?|([\s\S]))")
 _AN_B = re.compile(r"(?:(odd|even)|([+-]?\d*)n(?:\s*([+-])\s*(\d+))?|([+-]?\d+))", re.I)
