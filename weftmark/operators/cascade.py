@@ -73,3 +73,11 @@ def computed_style(nodes: DataFrame, sheets: DataFrame | None = None) -> DataFra
     text = F.concat("name", F.lit(": "), "w.value", F.when(F.col("w.important"), " !important").otherwise(""))
     listed = won.groupBy("doc_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("name", text.alias("text")))).alias("all"))
     return listed.select("doc_id", "node_id", F.array_join("all.text", "; ").alias("style"))
+
+
+def style_after_edits(nodes: DataFrame, edits: DataFrame, without_events: bool = False, sheets: DataFrame | None = None) -> DataFrame:
+    """Computed style after an edit log. Styles follow the processed copy of a document: with ``without_events`` the edits do
+    not reach it, and styles stay those of the nodes as parsed. ``sheets`` stay attached either way."""
+    from weftmark.operators.dom import apply_edits
+
+    return computed_style(nodes if without_events else apply_edits(nodes, edits).drop("errors"), sheets)
