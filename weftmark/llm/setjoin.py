@@ -78,9 +78,24 @@ def parity(hashes: np.ndarray) -> bytes:
     return np.packbits((cells & 1).astype(np.uint8)).tobytes()
 
 
+def wide_parity(hashes: np.ndarray) -> bytes:
+    """A parity bitmap of four cells a hash, rounded up to a power of two: what the fixed one is too small for."""
+    bits = 1 << min(max((4 * len(hashes) - 1).bit_length(), 9), 16)
+    cells = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((cells & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def parity_distance(x: bytes, y: bytes) -> int:
+    """Hamming distance of two such bitmaps; the larger is folded to the smaller's size, which keeps it a parity bitmap."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    n = min(len(a), len(b))
+    a, b = np.bitwise_xor.reduce(a.reshape(-1, n)), np.bitwise_xor.reduce(b.reshape(-1, n))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _scan(texts: DataFrame, width: int) -> DataFrame:
-    """A row (doc_id, n, sid, parity) for each document, and the task's frequency counters in slices."""
-    out = schema_of("doc_id long, n long, sid long, parity binary, slice int, data binary")
+    """A row (doc_id, n, sid, parity, wide) for each document, and the task's frequency counters in slices."""
+    out = schema_of("doc_id long, n long, sid long, parity binary, wide binary, slice int, data binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(out)
@@ -93,10 +108,10 @@ def _scan(texts: DataFrame, width: int) -> DataFrame:
                 every = np.concatenate([*sets, np.zeros(0, np.uint64)])
                 counts += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
                 none = [None] * len(sets)
-                yield emit(part.column(0), [len(s) for s in sets], [set_id(s) for s in sets], [parity(s) for s in sets], none, none)
+                yield emit(part.column(0), [len(s) for s in sets], [set_id(s) for s in sets], [parity(s) for s in sets], [wide_parity(s) for s in sets], none, none)
         size = len(counts) // SLICES
         none = [None] * SLICES
-        yield emit(none, none, none, none, range(SLICES), [counts[k * size : (k + 1) * size].tobytes() for k in range(SLICES)])
+        yield emit(none, none, none, none, none, range(SLICES), [counts[k * size : (k + 1) * size].tobytes() for k in range(SLICES)])
 
     return texts.mapInArrow(run, out)
 
@@ -152,8 +167,8 @@ def _entries(texts: DataFrame, width: int, pct: int, counters, buckets: int, hot
     return map_rows(texts, "bucket long, data binary", start)
 
 
-def _shared(entries: DataFrame, counters, hot: int) -> DataFrame:
-    """(token, sid, n, holders): entries whose shingle two groups or more hold."""
+def _shared(entries: DataFrame, pct: int, counters, hot: int) -> DataFrame:
+    """(token, sid, n, holders): entries whose shingle another group of a fitting size holds."""
     out = "token long, sid long, n long, holders long"
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -166,7 +181,7 @@ def _shared(entries: DataFrame, counters, hot: int) -> DataFrame:
             sids.append(np.repeat(sid, n))
             sizes.append(np.repeat(size, n))
         token, sid, n = np.concatenate(tokens), np.concatenate(sids), np.concatenate(sizes)
-        order = np.lexsort((sid, token))
+        order = np.lexsort((sid, n, token))
         token, sid, n = token[order], sid[order], n[order]
         new = np.append(True, (token[1:] != token[:-1]) | (sid[1:] != sid[:-1]))  # tasks may have sent the same group
         token, sid, n = token[new], sid[new], n[new]
@@ -174,7 +189,9 @@ def _shared(entries: DataFrame, counters, hot: int) -> DataFrame:
         held = np.diff(np.append(np.flatnonzero(first), len(token)))[np.cumsum(first) - 1]
         often = counters.value[(token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
         held = np.where(often > hot, often, held)  # dealt to several buckets: all that is known is the bound
-        some = held > 1
+        # by size, a group fits another one exactly if it fits one of its neighbours; entries dealt to several buckets all stay
+        next_fits = np.append((token[1:] == token[:-1]) & (100 * n[:-1] >= pct * n[1:]), False)
+        some = next_fits | np.append(False, next_fits[:-1]) | (often > hot)
         return pd.DataFrame({"token": token[some].astype(np.int64), "sid": sid[some], "n": n[some], "holders": held[some]})
 
     return entries.groupBy("bucket").applyInPandas(merge, out)
@@ -290,7 +307,7 @@ def _wanted(sids: DataFrame) -> np.ndarray:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) of ``pairs`` whose full sets are similar enough."""
     left = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
@@ -312,6 +329,25 @@ def _verify(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     return map_rows(both.select("a", "b", "x", "y"), "a long, b long", start)
 
 
+def _once(sets: DataFrame) -> DataFrame:
+    return sets.groupBy("sid").agg(F.first("hashes").alias("hashes"))
+
+
+def _likely(pairs: DataFrame, groups: DataFrame, pct: int) -> DataFrame:
+    """The pairs (a, b) that the wide bitmaps cannot rule out; far smaller than the sets, they go first."""
+    left = groups.select(F.col("sid").alias("a"), F.col("n").alias("m"), F.col("wide").alias("x"))
+    right = groups.select(F.col("sid").alias("b"), "n", F.col("wide").alias("y"))
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+
+    def start():
+        def step(cols):
+            return [(a, b) for a, b, m, n, x, y in zip(*cols) if (100 + pct) * ((m + n - parity_distance(x, y)) // 2) >= pct * (m + n)]
+
+        return step
+
+    return map_rows(both.select("a", "b", "m", "n", "x", "y"), "a long, b long", start)
+
+
 def near_duplicates(df: DataFrame, width: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: documents link from a Jaccard similarity of ``pct`` percent."""
     spark: SparkSession = df.sparkSession
@@ -327,29 +363,36 @@ def near_duplicates(df: DataFrame, width: int = 5, pct: int = 80, id_col: str =
     total = (words["n"] or 0) * (100 - pct) // 100 + words["d"]
     buckets = max(shuffle_width(spark), -(-total // TASK_ENTRIES))
     hot = TASK_ENTRIES // 4
-    shared = scratch.write(_shared(_entries(texts, width, pct, counters, buckets, hot), counters, hot), "shared")
+    shared = scratch.write(_shared(_entries(texts, width, pct, counters, buckets, hot), pct, counters, hot), "shared")
     n_shared = shared.count()
+    sids = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("sid"))
 
-    parities = documents.where("n > 0").groupBy("sid").agg(F.first("parity").alias("parity"))
-    first = scratch.write(_pairs(shared.withColumn("comp", F.col("sid")).join(parities, "sid"), pct, n_shared, best=2), "tried")
-    # of the partners found under its shingles each group tries the two most promising ones
+    groups = documents.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("wide").alias("wide"))
+    parities = groups.select("sid", "parity")
+    first = _pairs(shared.withColumn("comp", F.col("sid")).join(parities, "sid"), pct, n_shared, best=1)
+    # of the partners found under its shingles each group tries the most promising one, and among those with smaller ids
     ends = first.groupBy("a", "b").agg(F.max("slack").alias("slack")).select("a", "b", "slack", F.explode(F.array("a", "b")).alias("who"))
-    chosen = ends.groupBy("who").agg(F.max_by(F.struct("a", "b"), F.struct("slack", "a", "b")).alias("p"), F.min_by(F.struct("a", "b"), F.struct("slack", "a", "b")).alias("q"))
-    tried = scratch.write(chosen.select(F.explode(F.array("p", "q")).alias("p")).select("p.a", "p.b").distinct(), "chosen")
-    wanted = context.broadcast(_wanted(first.select(F.explode(F.array("a", "b")).alias("sid"))))
-    sets = scratch.write(_sets(texts, width, wanted), "sets").groupBy("sid").agg(F.first("hashes").alias("hashes"))
-    links = scratch.write(_verify(tried, sets, pct), "links")
+    by = F.struct("slack", "a", "b")
+    chosen = ends.groupBy("who").agg(F.max_by(F.struct("a", "b"), by).alias("p"), F.max_by(F.struct("a", "b"), F.when(F.col("who") == F.col("b"), by)).alias("q"))
+    chosen = chosen.select(F.explode(F.array("p", "q")).alias("p")).select("p.a", "p.b").where("a IS NOT NULL").distinct()
+    tried = scratch.write(_likely(chosen, groups, pct), "tried")
+    sets = scratch.write(_sets(texts, width, context.broadcast(_wanted(sids(tried)))), "sets")
+    links = scratch.write(_verify(tried, _once(sets), pct), "links")
     roots = scratch.write(components(links, scratch), "roots")
 
     known = shared.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid"))
     mixed = known.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
     open_ = known.join(mixed, "token", "left_semi").join(parities, "sid")
-    rest = _pairs(open_, pct, n_shared, best=None).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = scratch.write(_verify(rest, sets, pct), "more")
-    if more.isEmpty():
-        final = roots
-    else:
-        final = scratch.write(components(links.unionByName(more), scratch), "final")
+    left = _pairs(open_, pct, n_shared, best=None).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    rest = scratch.write(_likely(left, groups, pct), "rest")
+    final = roots
+    if not rest.isEmpty():
+        missing = sids(rest).distinct().join(sets.select("sid"), "sid", "left_anti")
+        if not missing.isEmpty():
+            sets = sets.unionByName(scratch.write(_sets(texts, width, context.broadcast(_wanted(missing))), "sets"))
+        more = scratch.write(_verify(rest, _once(sets), pct), "more")
+        if not more.isEmpty():
+            final = scratch.write(components(links.unionByName(more), scratch), "final")
 
     # ids of components are smallest document ids: per group first, then per component
     named = documents.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"))
