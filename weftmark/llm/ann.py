@@ -5,7 +5,8 @@ broadcast; every vector is then indexed, one leaf in each tree. For largest inne
 trees see vectors with one more component that brings all of them to the same norm (0 for
 queries). A query walks all trees through one priority queue ordered by the least margin on the
 path and takes ``probes`` leaves. Queries meet candidates leaf by leaf: leaves with many members
-or queries are cut into blocks, and each task returns only its best ``k`` a query. Scores are
+or queries are cut into blocks, and each task returns only its best ``k`` a query, and of those none
+below a floor: the ``k``-th best that the sampled rows in the query's own leaves give. Scores are
 exact inner products of the original vectors in double precision.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, null
@@ -64,26 +65,51 @@ def nearest(
     rows = rows.where(F.size("v") == common["d"])
     norm2 = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()  # at most ``sample`` vectors
+    drawn = np.array([r["id"] for r in picked])
     picked = _widened(np.array([r["v"] for r in picked]), norm2)
     draw = np.random.default_rng(seed)
-    forest = spark.sparkContext.broadcast([build(picked, leaf, draw) for _ in range(trees)])  # bounded by the sample
+    grown = [build(picked, leaf, draw) for _ in range(trees)]
+    forest = spark.sparkContext.broadcast((grown, drawn, picked[:, :-1]))  # bounded by the sample
 
     def start():
-        held = forest.value
+        held, sample_ids, sample_rows = forest.value
+        wide = _widened(sample_rows, norm2)
+        members: dict[int, np.ndarray] = {}
+        for j, t in enumerate(held):
+            home = leaves_of(t, wide)
+            order = np.argsort(home, kind="stable")
+            cuts = np.searchsorted(home[order], np.arange(t.leaves + 1))
+            members |= {a * trees + j: order[cuts[a] : cuts[a + 1]] for a in range(t.leaves)}
+
+        def ask(i: int, q: np.ndarray) -> tuple[list[int], float]:
+            """The leaves to visit, and a floor: the k-th best score among the sampled rows in those leaves."""
+            leaves = [a * trees + j for j, a in search(held, q, probes)]
+            near = np.zeros(len(sample_ids), bool)
+            for x in leaves:
+                near[members[x]] = True
+            near &= sample_ids != i
+            ids = sample_ids[near]
+            if len(np.unique(ids)) < k:
+                return leaves, -np.inf
+            score = sample_rows[near] @ q[:-1]
+            if len(ids) != len(np.unique(ids)):  # an id counts once
+                order = np.lexsort((-score, ids))
+                score = score[order][np.append(True, np.diff(ids[order]) != 0)]
+            floor = float(np.partition(score, -k)[-k])
+            return leaves, floor - 1e-9 * (1 + abs(floor))
 
         def step(cols):
             ids, x = cols[0], np.array(cols[1])
-            wide = _widened(x, norm2)
-            homes = np.stack([leaves_of(t, wide) * trees + j for j, t in enumerate(held)], 1).tolist()
+            homes = np.stack([leaves_of(t, _widened(x, norm2)) * trees + j for j, t in enumerate(held)], 1).tolist()
             flat = np.hstack([x, np.zeros((len(x), 1))])
-            return [(i, v.astype(kind).tobytes(), home, [a * trees + j for j, a in search(held, q, probes)] if i % every == 0 else []) for i, v, home, q in zip(ids, x, homes, flat)]
+            return [(i, v.astype(kind).tobytes(), home, *(ask(i, q) if i % every == 0 else ([], None))) for i, v, home, q in zip(ids, x, homes, flat)]
 
         return step
 
     scratch = Scratch(spark, "ann")
-    index = scratch.write(map_rows(rows, "id long, vector binary, homes array<int>, visits array<int>", start), "index")
-    entries = index.select("id", "vector", F.explode("homes").alias("leaf"), F.lit(False).alias("query"))
-    asks = index.select("id", "vector", F.explode("visits").alias("leaf"), F.lit(True).alias("query"))
+    index = scratch.write(map_rows(rows, "id long, vector binary, homes array<int>, visits array<int>, floor double", start), "index")
+    entries = index.select("id", "vector", F.explode("homes").alias("leaf"), F.lit(False).alias("query"), F.lit(None).cast("double").alias("floor"))
+    asks = index.select("id", "vector", F.explode("visits").alias("leaf"), F.lit(True).alias("query"), "floor")
     both = entries.unionByName(asks)
     # one row a leaf of the forest: bounded by the sample
     counts = both.groupBy("leaf").agg(F.count_if(~F.col("query")).alias("m"), F.count_if("query").alias("q")).collect()
@@ -99,7 +125,7 @@ def nearest(
     dealt = both.withColumn("mine", mine).withColumn("other", F.explode(across))
     cell = F.xxhash64("leaf", F.when(F.col("query"), F.col("mine")).otherwise(F.col("other")), F.when(F.col("query"), F.col("other")).otherwise(F.col("mine")))
     buckets = max(shuffle_width(spark), -(-total // TASK_ROWS))
-    dealt = dealt.select(cell.alias("cell"), F.pmod(F.xxhash64(cell), F.lit(buckets)).alias("bucket"), "query", "id", "vector")
+    dealt = dealt.select(cell.alias("cell"), F.pmod(F.xxhash64(cell), F.lit(buckets)).alias("bucket"), "query", "id", "vector", "floor")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -108,10 +134,11 @@ def nearest(
             ids = group["id"].to_numpy()
             x = np.frombuffer(b"".join(group["vector"]), kind).reshape(len(group), -1).astype(np.float64)
             q_ids, q, c_ids, c = ids[is_query], x[is_query], ids[~is_query], x[~is_query]
+            floor = group["floor"].to_numpy(np.float64)[is_query]
             if not len(q) or not len(c):
                 continue
             for at in range(0, len(q), 256):
-                found.append(_best(q_ids[at : at + 256], q[at : at + 256], c_ids, c, k))
+                found.append(_best(q_ids[at : at + 256], q[at : at + 256], floor[at : at + 256], c_ids, c, k))
         if not found:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         a, b, s = (np.concatenate(z) for z in zip(*found))
@@ -129,12 +156,12 @@ def nearest(
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Up to k best (query, candidate, score), ties to smaller ids. A fast product picks, with slack; one sum in fixed order scores."""
+def _best(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Up to k best (query, candidate, score) from the floor on, ties to smaller ids. A fast product picks, with slack; one sum in fixed order scores."""
     rough = q @ c.T
     rough[q_ids[:, None] == c_ids[None, :]] = -np.inf
     keep = min(k, rough.shape[1])
-    bar = np.partition(rough, -keep, axis=1)[:, -keep]
+    bar = np.maximum(np.partition(rough, -keep, axis=1)[:, -keep], floor)
     slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(bar), bar, 0)))
     i, j = np.nonzero((rough >= (bar - slack)[:, None]) & np.isfinite(rough))
     score = np.einsum("ij,ij->i", q[i], c[j])
