@@ -81,11 +81,15 @@ class Scratch:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_only(self, *names: str) -> None:
+        """Delete all tables but those written under these names: what a lazy result still reads."""
+        self.drop(*[k for k, path in enumerate(self.paths) if path.rsplit("/", 1)[-1].rsplit("-", 1)[0] not in names])
+
     def drop(self, *frames: int) -> None:
-        """Delete the tables with these ordinal numbers (all of them, when none is given)."""
+        """Delete the tables with these ordinal numbers."""
         jvm = self.spark._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for k in frames or range(len(self.paths)):
+        for k in frames:
             path = jvm.org.apache.hadoop.fs.Path(self.paths[k])
             path.getFileSystem(conf).delete(path, True)
 

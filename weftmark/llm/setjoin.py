@@ -394,6 +394,8 @@ def near_duplicates(df: DataFrame, width: int = 5, pct: int = 80, id_col: str =
         if not more.isEmpty():
             final = scratch.write(components(links.unionByName(more), scratch), "final")
 
+    scratch.keep_only("scan", "roots", "final")
+
     # ids of components are smallest document ids: per group first, then per component
     named = documents.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"))
     named = named.join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
