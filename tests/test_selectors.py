@@ -132,6 +132,24 @@ def test_plans_match_a_naive_matcher(table):
         assert got == want, text
 
 
+def test_matching_in_place_equals_the_plans(table):
+    """Both ways of evaluation agree, form states and all."""
+    from weftmark.functions.match import Tree
+
+    rows = [r.asDict(recursive=True) for r in table.collect()]
+    tree = Tree(rows, False)
+    more = [":disabled", ":enabled", ":checked", ":required", ":optional", ":placeholder-shown", ":read-write", "textarea:read-only", ":root > div", "a||b", "p:nth-child(-2n+3)", ":focus", "p:where(.x, [lang])"]
+    plans = matching.Compiler(table)
+    marks = {t: plans.any_of(S.parse(t).selectors) for t in SELECTORS + more}
+    got = {t: set() for t in marks}
+    for r in plans.df.select("node_id", *[c.alias(f"c{k}") for k, c in enumerate(marks.values())]).collect():
+        for k, t in enumerate(marks):
+            if r[f"c{k}"]:
+                got[t].add(r.node_id)
+    for t in marks:
+        assert {k for c in S.parse(t).selectors for k in tree.find(c)} == got[t], t
+
+
 def test_form_states(table):
     def tags(s):
         return [r.tag for r in matching.find(table, s).orderBy("node_id").collect()]

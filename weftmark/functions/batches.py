@@ -30,6 +30,7 @@ def explode_rows(df: DataFrame, schema: str, one: Callable[..., list[tuple]], sl
 
 def scalar(fn: Callable, returns: str) -> Callable[..., Column]:
     """An Arrow-batched Column function from a plain one; a null in the first argument gives null."""
+
     def wrapped(*columns) -> Column:
         @F.udf(returnType=returns, useArrow=True)
         def call(*values):

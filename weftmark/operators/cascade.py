@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftmark.functions import match
+from weftmark.functions.batches import explode_rows
 from weftmark.functions.css import css_declarations, css_rules
 from weftmark.operators.nodes import attr
 from weftmark.plans import selectors as S
 from weftmark.plans.matching import Compiler
 
-#: Most distinct selectors of one plan: each is compiled on the driver. More are taken in turn.
-PER_PLAN = 64
+#: Selectors of one plan, and most distinct selectors that are compiled into plans at all; with more, every document matches
+#: its own sheets' selectors in its task, and no selector reaches the driver.
+PER_PLAN, COMPILED = 32, 64
 
 
 def style_sheets(nodes: DataFrame) -> DataFrame:
@@ -50,22 +53,34 @@ def matched_branches(nodes: DataFrame, selectors: list[str]) -> DataFrame:
     return out
 
 
+def matched_in_place(nodes: DataFrame, used: DataFrame) -> DataFrame:
+    """Like ``matched_branches``, for (doc_id, selector) pairs: each document for itself, one shuffle by document."""
+    texts = used.groupBy("doc_id").agg(F.collect_set("selector").alias("texts"))
+    fields = ("node_id", "parent_id", "root", "subtree_end", "kind", "tag", "is_known", "attrs", "data")
+    rows = nodes.groupBy("doc_id").agg(F.first("quirks").alias("quirks"), F.collect_list(F.struct(*fields)).alias("n"))
+    read = match.Reader()
+    return explode_rows(rows.join(texts, "doc_id"), "doc_id long, node_id int, selector string, a int, b int, c int", lambda i, quirks, n, texts: [(i, *b) for b in match.branches(n, quirks, texts, read)], 16)
+
+
 def computed_style(nodes: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
     """(doc_id, node_id, style) of every element that some declaration reaches.
 
     ``sheets``: doc_id, sheet_id (source order), css; by default the documents' own style elements. Attach sheets by
     adding rows, remove them with an anti-join. Rank decides first (sheet, inline, important sheet, important inline),
-    then specificity, then source order. Distinct selectors are collected to be compiled: a query's worth of text."""
+    then specificity, then source order. Up to COMPILED distinct selectors become plans; more are matched in place."""
     sheets = style_sheets(nodes) if sheets is None else sheets
     rules = _rules(sheets)
-    selectors = sorted(r[0] for r in rules.select("selector").distinct().collect())
+    selectors = sorted(r[0] for r in rules.select("selector").distinct().limit(COMPILED + 1).collect())
+    used = sheets.select("doc_id", "sheet_id", F.xxhash64("css").alias("text_id"))
     inline = nodes.where("kind = 'element'").select("doc_id", "node_id", attr("attrs", "style").alias("css")).where("css IS NOT NULL")
     inline = inline.select("doc_id", "node_id", F.posexplode(css_declarations(F.col("css"))).alias("decl_ord", "d")).where("d.type <> 'undef' AND d.value <> ''")
     zero = [F.lit(0).alias(n) for n in ("a", "b", "c", "sheet_id", "rule_ord")]
     wins = inline.select("doc_id", "node_id", F.when(F.col("d.type") == "custom", F.col("d.name")).otherwise(F.lower("d.name")).alias("name"), "d.value", "d.important", F.lit(1).alias("inline"), *zero, "decl_ord")
-    branches = matched_branches(nodes, selectors) if selectors else None
+    if len(selectors) > COMPILED:
+        branches = matched_in_place(nodes, used.join(rules, "text_id").select("doc_id", "selector").distinct())
+    else:
+        branches = matched_branches(nodes, selectors) if selectors else None
     if branches is not None:
-        used = sheets.select("doc_id", "sheet_id", F.xxhash64("css").alias("text_id"))
         hits = branches.join(used, "doc_id").join(rules, ["text_id", "selector"])
         wins = wins.unionByName(hits.select("doc_id", "node_id", "name", "value", "important", F.lit(0).alias("inline"), "a", "b", "c", "sheet_id", "rule_ord", "decl_ord"))
     rank = F.struct((2 * F.col("important").cast("int") + F.col("inline")).alias("rank"), "a", "b", "c", "sheet_id", "rule_ord", "decl_ord")

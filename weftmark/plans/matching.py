@@ -61,9 +61,8 @@ class Compiler:
         roles = F.array(F.struct(F.lit(0).alias("r"), F.col("node_id").alias("f")), F.struct(F.lit(1).alias("r"), F.col("parent_id").alias("f")))
         both = self.df.withColumn("__both", F.explode(roles)).withColumns({"__role": F.col("__both.r"), "__fam": F.col("__both.f")})
         name = next(self.names)
-        other = next(self.names)
         window = Window.partitionBy("doc_id", "root", "__fam")
-        self.df = both.withColumn(name, F.coalesce(agg.over(window), F.lit(False))).where(F.col("__role") == (1 if take == "child" else 0)).drop("__both", "__role", "__fam", other)
+        self.df = both.withColumn(name, F.coalesce(agg.over(window), F.lit(False))).where(F.col("__role") == (1 if take == "child" else 0)).drop("__both", "__role", "__fam")
         return F.col(name)
 
     # -- selectors

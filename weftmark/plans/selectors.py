@@ -165,7 +165,7 @@ class _Reader:
         return self.s[start:]
 
 
-def _list(text: str, relative: bool = False, forgiving: bool = False, nested: bool = True) -> tuple[Complex, ...]:
+def _list(text: str, relative: bool = False, forgiving: bool = False) -> tuple[Complex, ...]:
     out = []
     for part in _split(text):
         try:
@@ -238,8 +238,6 @@ def _compound(r: _Reader) -> Compound:
     ids, classes, attributes, pseudos = [], [], [], []
     if r.peek() == "*" or r.peek() == "|" and r.peek(2) != "||" or _NAME.match(r.s, r.at):
         tag = "*" if r.peek() == "*" else "" if r.peek() == "|" else r.name()
-        if r.peek() != "|" and tag:
-            pass
         if tag == "*":
             r.at += 1
         if r.peek() == "|" and r.peek(2) != "||":

@@ -101,5 +101,7 @@ def pages_per_window(events: DataFrame, ts: str = "ts", key: str = "event_type",
 
 
 def first_seen(events: DataFrame, key: str, late: str = "10 minutes", ts: str = "ts") -> DataFrame:
-    """Each key once within the watermark (an addition)."""
+    """Each key once within the watermark (an addition); once at all in a batch."""
+    if not events.isStreaming:
+        return events.dropDuplicates([key])
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
