@@ -37,6 +37,12 @@ def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.html_nodes(pages(spark, sf_dir).select("page_id", "html"))
 
 
+def kept_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node table for queries that read it many times: parsed once, kept in memory or on disk by Spark.
+    Where it outlives a query, write it with ``sources.write_nodes`` instead."""
+    return node_table(spark, sf_dir).persist()
+
+
 def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -173,7 +179,7 @@ def dom_child_nodes(spark, sf_dir):
 @query("SELECT page_id, 0 AS ads, 'x' AS note FROM pages")
 def dom_edit(spark, sf_dir):
     """Remove every ad and note it at the body: an edit log replayed per document."""
-    n = node_table(spark, sf_dir)
+    n = kept_nodes(spark, sf_dir)
     gone = dom.by_class(n, "ad").select("doc_id", F.lit(1).alias("ord"), F.lit("remove").alias("op"), F.col("node_id").alias("ref"), F.lit(None).cast(nodes.ATTRS).alias("attrs"))
     noted = n.where("root = 'doc' AND parent_id = 0 AND tag = 'body'").select("doc_id", F.lit(2), F.lit("set_attr"), "node_id", F.array(F.struct(F.lit("note").alias("name"), F.lit("x").alias("value"))))
     log = gone.union(noted).select("doc_id", "ord", "op", F.lit(None).cast("int").alias("node"), "ref", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("tag"), "attrs", F.lit(None).cast("string").alias("data"))
@@ -185,7 +191,7 @@ def dom_edit(spark, sf_dir):
 # ---- CSS ----------------------------------------------------------------------------------------------------------------
 @query(f"SELECT page_id, 'margin: 0' AS style, CAST({_P} AS BIGINT) AS n FROM pages WHERE {_P} > 0")
 def computed_style_p(spark, sf_dir):
-    n = node_table(spark, sf_dir)
+    n = kept_nodes(spark, sf_dir)
     styles = cascade.computed_style(n)
     return styles.groupBy(F.col("doc_id").alias("page_id"), "style").agg(F.count(F.lit(1)).alias("n"))
 
