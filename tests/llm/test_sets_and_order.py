@@ -322,6 +322,18 @@ def test_nearest_small_tables(spark):
     assert [r["vec_id"] for r in ann.nearest(same).where("query_id = 0").orderBy("rank").collect()] == list(range(1, 21))
 
 
+def test_nearest_of_an_id_with_many_rows(spark):
+    """Repeated rows, and many vectors of one id, take one place each query."""
+    draw = np.random.default_rng(7)
+    x = (np.ones(8) + 0.05 * draw.normal(size=(41, 8))).tolist()
+    hot = (3 * np.ones((60, 8)) + 0.01 * draw.normal(size=(60, 8))).tolist()
+    rows = [(k, v) for k, v in enumerate(x)] + [(900, v) for v in hot] + [(901, [2.0] * 8)] * 70
+    got = [tuple(r) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 0").orderBy("rank").collect()]
+    scores = {k: float(np.dot(v, x[0])) for k, v in enumerate(x) if k} | {900: max(float(np.dot(v, x[0])) for v in hot), 901: float(np.dot([2.0] * 8, x[0]))}
+    want = sorted(scores, key=lambda k: (-scores[k], k))[:20]
+    assert [r[2] for r in got] == want and np.allclose([r[3] for r in got], [scores[k] for k in want])
+
+
 def test_forest_visits_every_leaf_if_asked():
     draw = np.random.default_rng(4)
     x = draw.normal(size=(500, 8))

@@ -58,6 +58,8 @@ def nearest(
     single = isinstance(df.schema[vector_col].dataType.elementType, T.FloatType)
     kind = "<f4" if single else "<f8"
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    scratch = Scratch(spark, "ann")
+    rows = scratch.write(rows.dropDuplicates(["id", "v"]), "rows")  # read several times below
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"))
     common = sizes.orderBy(F.desc("n"), F.desc("d")).first()
     if common is None:
@@ -106,7 +108,6 @@ def nearest(
 
         return step
 
-    scratch = Scratch(spark, "ann")
     index = scratch.write(map_rows(rows, "id long, vector binary, homes array<int>, visits array<int>, floor double", start), "index")
     entries = index.select("id", "vector", F.explode("homes").alias("leaf"), F.lit(False).alias("query"), F.lit(None).cast("double").alias("floor"))
     asks = index.select("id", "vector", F.explode("visits").alias("leaf"), F.lit(True).alias("query"), "floor")
@@ -157,17 +158,29 @@ def nearest(
 
 
 def _best(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Up to k best (query, candidate, score) from the floor on, ties to smaller ids. A fast product picks, with slack; one sum in fixed order scores."""
+    """Up to k best (query, candidate, score) from the floor on, ties to smaller ids, each candidate id by its best row.
+    A fast product picks, with slack; one sum in fixed order scores."""
+    order = np.argsort(c_ids, kind="stable")
+    c_ids, c = c_ids[order], c[order]
+    first = np.flatnonzero(np.append(True, c_ids[1:] != c_ids[:-1]))
     rough = q @ c.T
     rough[q_ids[:, None] == c_ids[None, :]] = -np.inf
-    keep = min(k, rough.shape[1])
-    bar = np.maximum(np.partition(rough, -keep, axis=1)[:, -keep], floor)
+    best = np.maximum.reduceat(rough, first, axis=1) if len(first) < len(c_ids) else rough  # an id counts once towards the bar
+    keep = min(k, best.shape[1])
+    bar = np.maximum(np.partition(best, -keep, axis=1)[:, -keep], floor)
+    if best is not rough:  # of an id's rows only those that may be its best
+        bar = np.maximum(bar[:, None], np.repeat(best, np.diff(np.append(first, len(c_ids))), axis=1))
+    else:
+        bar = bar[:, None]
     slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(bar), bar, 0)))
-    i, j = np.nonzero((rough >= (bar - slack)[:, None]) & np.isfinite(rough))
+    i, j = np.nonzero((rough >= bar - slack) & np.isfinite(rough))
     score = np.einsum("ij,ij->i", q[i], c[j])
+    order = np.lexsort((-score, c_ids[j], i))
+    i, j, score = i[order], j[order], score[order]
+    once = np.append(True, (i[1:] != i[:-1]) | (c_ids[j[1:]] != c_ids[j[:-1]]))[: len(i)]
+    i, j, score = i[once], j[once], score[once]
     order = np.lexsort((c_ids[j], -score, i))
     i, j, score = i[order], j[order], score[order]
     first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, int)
     rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-    some = rank < 2 * k  # repeated rows may fill places twice
-    return q_ids[i[some]], c_ids[j[some]], score[some]
+    return q_ids[i[rank < k]], c_ids[j[rank < k]], score[rank < k]
