@@ -126,6 +126,21 @@ def test_pii_against_patterns_on_random_strings():
         assert [s[1:] for s in got if s[0] == "email"] == mails and [s[1:] for s in got if s[0] == "ip"] == ips
 
 
+def test_pii_cues_in_any_case_and_values_with_letters():
+    spans = pii.finder()
+    cases = {
+        "Social Security Number: 123-45-6789": "account:24:35", "SOCIAL Security number 123-45-6789": "account:23:34", "SSN No. 123-45-6789": "account:8:19",
+        "Account Number: 12345678": "account:16:24", "Account No. 12345678": "account:12:20", "ACCOUNT NO: 12345678": "account:12:20", "Passport No: 12345678": "account:13:21",
+        "Passport: A1234567": "account:10:18", "passport AB 123456 expired": "account:9:18", "Passport C01X00T47.": "account:9:18", "Acct. No. 1234 5678": "account:10:19", "İ Passport: A1234567": "account:12:20",
+        "IBAN No: DE89370400440532013000": "account:9:31", "see ssh://alice@host now": "address:4:20", "ftp://bob:@files.org:21/x": "address:0:23",
+        "Account Manager: Henrietta": "", "passport renewal 2nd": "", "Account: password1": "", "my Account Settings1 page": "", "accountant no: 12345678": "", "https://example.org/@alice": "",
+    }
+    for text, want in cases.items():
+        assert pii.joined(s for s in spans(text) if s[0] in ("address", "account")) == want, text
+    text = "Account No. 12345678, ssh://alice@host"
+    assert pii.redact(text, spans(text)) == "Account No. [ACCOUNT], [ADDRESS]"
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "to a@b.co now", 13), (2, None, 0), (3, "clean", 5)], "doc_id long, text string, n_chars int")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.redact_pii(df).collect()}

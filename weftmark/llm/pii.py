@@ -30,12 +30,18 @@ _QUAD = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-#: user:password@host behind a scheme
-_USERINFO = re.compile(r"://[^\s/?#@:]+:[^\s/?#@]+@[A-Za-z0-9.-]+(?::[0-9]+)?")
+#: user@host or user:password@host behind a scheme
+_USERINFO = re.compile(r"://[^\s/?#@:]+(?::[^\s/?#@]*)?@(?:\[[0-9A-Fa-f:.]+\]|[A-Za-z0-9.-]+)(?::[0-9]+)?")
 _SCHEME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
-_IBAN = re.compile(r"[\x20:#]{1,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
-_SSN = re.compile(r"[\x20:#]{1,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
-_ACCOUNT = re.compile(r"(?:\x20(?:no\.?|number|nr\.?|id))?[\x20:#]{1,3}([0-9](?:[\x20-]?[0-9]){5,33})")
+#: What may stand between a cue and its value.
+_BEFORE = r"(?i:(?<=acct)\.)?(?:\x20?(?i:numbers?|no\.?|nr\.?|num\.?|id))?(?:(?<=\.)[\x20:#]{0,3}|[\x20:#]{1,3})"
+_IBAN = re.compile(_BEFORE + r"([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
+_SSN = re.compile(_BEFORE + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
+_ACCOUNT_AT = re.compile(_BEFORE)
+_NUMBER = re.compile(r"[0-9](?:[\x20-]?[0-9]){5,33}")
+#: One to four capitals before a number; or one word with a letter and a digit, with four digits where a letter is small.
+_LETTERED = re.compile(r"[A-Z]{1,4}[\x20-]?[0-9](?:[\x20-]?[0-9]){4,33}[A-Z]?(?![A-Za-z0-9])")
+_MIXED = re.compile(r"(?=[0-9-]*[A-Za-z])(?:(?=[A-Z-]*[0-9])(?=[A-Z0-9-]+(?![A-Za-z0-9-]))|(?=(?:[A-Za-z-]*[0-9]){4}))[A-Za-z0-9](?:-?[A-Za-z0-9]){5,33}(?![A-Za-z0-9])")
 #: Identifier cues and the parser that reads what follows.
 CUES = {"iban": "iban", "ssn": "ssn", "social security number": "ssn", "account": "account", "acct": "account", "passport": "account"}
 
@@ -62,12 +68,28 @@ def _automaton():
     for anchor in ("@", "+", "://"):
         found.add_word(anchor, (anchor, len(anchor)))
     for cue, parser in CUES.items():
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, (parser, len(form)))
+        found.add_word(cue, (parser, len(cue)))
     found.make_automaton()
     return found
 
 
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, of equal length."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_LOWER)
+
+
+def account_at(text: str, at: int) -> tuple[int, int] | None:
+    """The longest number, with letters or without, behind a cue that ends at ``at``."""
+    if not (before := _ACCOUNT_AT.match(text, at)):
+        return None
+    start = before.end()
+    return max((m.span() for p in (_NUMBER, _LETTERED, _MIXED) if (m := p.match(text, start))), default=None)
+
+
 def finder():
     """A function from a text to its spans [(kind, start, end)], in order."""
     anchors = _automaton()
@@ -76,7 +98,7 @@ def finder():
         out = []
         mail = quad = card = phone = 0  # where each kind's next match may begin
         last_digit = -2
-        for end, (kind, width) in anchors.iter(text):
+        for end, (kind, width) in anchors.iter(lowered(text)):
             at = end - width + 1
             if kind == "d":
                 if last_digit != at - 1 and at >= quad and (m := _QUAD.match(text, at)):
@@ -121,8 +143,8 @@ def finder():
             elif kind == "ssn":
                 if (m := _SSN.match(text, end + 1)) and m[1][:3] not in ("000", "666") and m[1][0] != "9":
                     out.append(("account", *m.span(1)))
-            elif m := _ACCOUNT.match(text, end + 1):
-                out.append(("account", *m.span(1)))
+            elif span := account_at(text, end + 1):
+                out.append(("account", *span))
         out.sort(key=lambda s: (s[1], _RANK[s[0]], s[2]))
         return out
 
