@@ -158,6 +158,39 @@ def test_licenses(docs):
     assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in got)
 
 
+def test_licenses_inside_long_lines_and_paragraphs(spark):
+    filler = " ".join(f"word{k}" for k in range(60))
+    apache = licenses.TEMPLATES["apache-2"][0].split()
+    wrapped = " ".join(apache[:9]) + "\n# " + " ".join(apache[9:22]) + "\n#\n# " + " ".join(apache[22:])
+    texts = {
+        f"{filler} Licensed under CC BY 4.0. {filler}": {"cc-by", "cc-by-nc"}, f"{filler} This work is licensed under the GNU General Public License, version 3. {filler}": {"gpl-3"},
+        f"# {wrapped}\n# {filler} {filler} {filler}": {"apache-2"}, f"{filler}\nCopyright. All\nrights reserved. {filler}": {"all-rights-reserved"}, f"{filler} licensed {filler} under {filler} CC BY 4.0": set(),
+        f"{filler}. Released, kindly, under the fine MIT sort of License. {filler}": {"mit"}, f"{filler} copyright all rights": set(), f"{filler} under CC BY 4.0 licensed {filler}": {"cc-by", "cc-by-nc"},
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(df, {}).collect()}
+    assert [set(filter(None, got[k][0].split(","))) for k in range(len(texts))] == list(texts.values()), got
+    assert got[0][1] == got[2][1] == 1.0
+
+
+def test_license_windows_match_brute_force():
+    import random
+
+    draw = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(14)]
+    templates = {f"t{k}": (" ".join(draw.choices(vocabulary, k=7)),) for k in range(10)}
+    matcher = licenses.Matcher(templates, {w.encode(): draw.randint(0, 9) for w in vocabulary}, 0.8, 1.0)
+    for _ in range(200):
+        words = [w.encode() for w in draw.choices(vocabulary + ["x", "y"] * 10, k=draw.randint(1, 60))]
+        want = {}
+        for label, (t,) in templates.items():
+            s, n = set(licenses.words_of(t)), len(licenses.words_of(t))
+            share = max(len(s & set(words[k : k + n])) for k in range(len(words))) / len(s)
+            if share >= 0.8:
+                want[label] = share
+        assert matcher.inside(words) == want
+
+
 def test_license_join_is_exact(spark):
     """Every block over the threshold is found, whatever the order of words."""
     import random

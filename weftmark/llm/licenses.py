@@ -1,14 +1,17 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a paragraph (lines up to an empty one) of two lines or more. A template
-and a block match when the block's word set holds at least ``threshold`` of the template's.
+A block is a line, a paragraph (lines up to an empty one) of two lines or more, a sentence of
+either, or, for each template, any run of as many words as the template has, wherever it begins
+and whatever lines it crosses: so notices are found inside texts of any length. A template and a
+block match when the block's word set holds at least ``threshold`` of the template's.
 Words are ordered by how many documents of the whole corpus hold them, rarest first (counted
 for the templates' words only, so what is broadcast is bounded by the templates). Under that
 order a matching block must hold one of the first ``n - ceil(threshold * n) + 1`` words of the
 template (prefix filter), have at least ``ceil(threshold * n)`` and at most ``longest * n``
 words (length filter), and leave room enough behind the first shared word (positional filter);
-the survivors are counted exactly. The upper length bound belongs to the definition of a match:
-a block many times the template's length holds its words by chance.
+the survivors are counted exactly. The upper length bound is on lines, paragraphs and sentences as
+wholes, which hold a template's words by chance when many times as long; the runs inside them have
+none. Runs are counted at every position of every text that holds enough of the template's words.
 
 Two passes over the texts; the shuffle carries one row a template word and task. Defined
 results: a null text is an empty one; no words, no labels, score 0; texts of any length are
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import deque
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -70,6 +74,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 _SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
 _SPLIT = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
 _EMPTY_LINE = re.compile(rb"\n[\x20\t\r]*\n")
+_SENTENCE_END = re.compile(rb"(?<=[.!?])[\x20\t\r\n]+")
 
 
 def words_of(text: str | bytes) -> list[bytes]:
@@ -106,6 +111,7 @@ class Matcher:
 
     def __init__(self, templates, order: Mapping[bytes, int], threshold: float, longest: float):
         self.sets = template_sets(templates)
+        self.lengths = [len(words_of(t)) for texts in templates.values() for t in texts]
         self.longest = longest
         self.need = [math.ceil(threshold * len(s) - 1e-9) for _, s in self.sets]
         self.index: dict[bytes, list[tuple[int, int]]] = {}
@@ -115,6 +121,30 @@ class Matcher:
                 self.index.setdefault(w, []).append((k, at))
         self.keys = frozenset(self.index)
 
+    def possible(self, held: set[bytes]) -> list[int]:
+        """The templates of which the words of a whole text hold enough."""
+        return [k for k in {k for w in self.keys & held for k, _ in self.index[w]} if len(self.sets[k][1] & held) >= self.need[k]]
+
+    def inside(self, words: list[bytes]) -> dict[str, float]:
+        """Each label's largest containment at or over the threshold in a run of as many words as the template has, at any position."""
+        out: dict[str, float] = {}
+        for k in self.possible(set(words)):
+            (label, s), n = self.sets[k], self.lengths[k]
+            most, last = 0, {}  # last: the words of the template in the run, and where each was seen last
+            recent: deque[tuple[int, bytes]] = deque()
+            for at, w in enumerate(words):
+                if w in s:
+                    last[w] = at
+                    recent.append((at, w))
+                    while recent[0][0] <= at - n:
+                        old, x = recent.popleft()
+                        if last[x] == old:
+                            del last[x]
+                    most = max(most, len(last))  # the largest count is reached where a word of the template comes in
+            if most >= self.need[k]:
+                out[label] = max(out.get(label, 0.0), most / len(s))
+        return out
+
     def best(self, words: list[bytes]) -> dict[str, float]:
         hits = self.keys.intersection(words)
         if not hits:
@@ -136,12 +166,14 @@ class Matcher:
 
 
 def blocks_of(raw: bytes):
-    """Lines, and paragraphs of two lines or more."""
+    """Lines, paragraphs of two lines or more, and the sentences of both."""
     for paragraph in _EMPTY_LINE.split(raw) if b"\n" in raw else (raw,):
         lines = [x for x in paragraph.split(b"\n") if x]
-        yield from lines
-        if len(lines) > 1:
-            yield paragraph
+        for block in (*lines, paragraph) if len(lines) > 1 else lines:
+            yield block
+            sentences = _SENTENCE_END.split(block)
+            if len(sentences) > 1:
+                yield from sentences
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
@@ -179,7 +211,8 @@ def scan_licenses(
                             places.append(at - shift)
                             base.add(label)
             found: dict[str, float] = {}
-            if not matcher.keys.isdisjoint(held):
+            if matcher.possible(held):
+                found = matcher.inside(words)
                 for block in blocks_of(raw):
                     for label, share in matcher.best(words_of(block)).items():
                         found[label] = max(found.get(label, 0.0), share)
