@@ -25,8 +25,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_mix_order(docs)
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents become token pieces in packed sequences."""
-    return packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    """Documents become token pieces in packed sequences, window after window of the mix."""
+    return packing.pack_in_order(docs, f"{TOKENIZERS}/word_bpe_49k.json", mixing.PERIOD * mixing.BLOCK)
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixture", mixture), ("sequences", sequences)]
 

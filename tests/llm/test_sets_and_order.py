@@ -382,3 +382,27 @@ def test_entry_guard_holds_without_the_subpackage():
     code = "import sys; sys.modules['corpus_pipeline'] = None\nimport importlib.abc\nclass No(importlib.abc.MetaPathFinder):\n    def find_spec(self, name, path, target=None):\n        if name in ('corpus_pipeline', 'weftmark.llm'):\n            raise ModuleNotFoundError(name=name)\ndel sys.modules['corpus_pipeline']\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e, json\nprint(json.dumps(sorted(e.queries())))"
     names = json.loads(subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout)
     assert names and not any(n.startswith("op") for n in names) and "pipeline" not in names
+
+
+@pytest.mark.parametrize("stored", [True, False])
+def test_pipeline_sequences_follow_the_mix(spark, tmp_path, stored):
+    """Every prefix of whole windows holds the sources by their weights, though lengths differ by source."""
+    import corpus_pipeline
+
+    window = mixing.PERIOD * mixing.BLOCK
+    rows = [(i, ("tail " if i % 2 else "word ") * (1 + i % (7 if i % 2 else 90)), f"src{i % 2}") for i in range(3 * window)]
+    docs = corpus_pipeline.mixture(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
+    if stored:
+        docs.write.parquet(str(tmp_path / "mixed"))
+        docs = spark.read.parquet(str(tmp_path / "mixed"))
+    got = sorted(corpus_pipeline.sequences(spark, docs, "").select("sequence_id", "offset", "doc_id", "length").collect())
+    assert sorted(r["doc_id"] for r in got) == list(range(3 * window))
+    share = mixing.WEIGHTS["src0"] / (mixing.WEIGHTS["src0"] + mixing.WEIGHTS["src1"])
+    for n in (window, 2 * window):
+        assert abs(sum(r["doc_id"] % 2 == 0 for r in got[:n]) - share * n) <= mixing.BLOCK
+    assert sorted({r["sequence_id"] for r in got}) == list(range(got[-1]["sequence_id"] + 1))
+    room = {}
+    for r in got:
+        assert r["offset"] == room.get(r["sequence_id"], 0)
+        room[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(room.values()) <= 4096 and len(room) <= 1.01 * sum(room.values()) / 4096 + 3

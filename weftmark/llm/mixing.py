@@ -31,6 +31,8 @@ from weftmark.llm.common import shuffle_width
 WEIGHTS: dict[str, int] = {"src0": 20, **{f"src{k}": 10 for k in range(1, 5)}, **{f"src{k}": 4 for k in range(5, 10)}, **{f"src{k}": 2 for k in range(10, 20)}}
 OTHER = 1
 OTHER_NAME = "(other)"
+#: Slots of a period of the production mix, and documents of a block.
+PERIOD, BLOCK = sum(WEIGHTS.values()) + OTHER, 64
 #: Most slots of a period and most weighted sources: what the driver plans and broadcasts is bounded by them.
 MAX_PERIOD, MAX_SOURCES = 10_000, 1_000
 
@@ -94,7 +96,7 @@ def mix(
     df: DataFrame,
     weights: Mapping[str, int] = WEIGHTS,
     other: int = OTHER,
-    block_size: int = 64,
+    block_size: int = BLOCK,
     id_col: str = "doc_id",
     source_col: str = "source",
 ) -> tuple[DataFrame, str]:

@@ -9,7 +9,10 @@ result is a list of patterns with multiplicities. Pieces find their place by the
 the pieces of their length: counted in each task, offset by a running sum over tasks.
 
 The driver holds the histogram and the patterns only (bounded by ``capacity``), and no group of
-equal lengths ever meets in one task. Defined results: a null text is an empty one and has the
+equal lengths ever meets in one task.
+
+``pack_in_order`` keeps an order of the texts: it packs bounded windows of consecutive texts, each by
+itself and in one task, and numbers the sequences window after window. Defined results: a null text is an empty one and has the
 end id alone; repeated rows are packed as often as they occur; extra columns are ignored; an
 empty table gives no rows.
 """
@@ -25,6 +28,7 @@ from bisect import bisect_left, bisect_right, insort
 from collections.abc import Mapping
 
 import numpy as np
+import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -283,3 +287,66 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, i
         return step
 
     return map_rows(ranked.select(*columns, (F.col("before") + F.col("rank")).alias("rank")), SCHEMA, start)
+
+
+def stored_order(df: DataFrame) -> DataFrame:
+    """``df`` with its order as two columns: ``_file`` and ``_row`` from 0 in it. For a table that is read, its files by name
+    and their rows, however readers deal them out; for any other frame its partitions and their rows."""
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        return df.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    at = F.monotonically_increasing_id()
+    return df.withColumns({"_file": F.lpad(F.shiftright(at, 33).cast("string"), 10, "0"), "_row": at.bitwiseAND((1 << 33) - 1)})
+
+
+def pack_in_order(df: DataFrame, tokenizer: str, window: int, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``pack`` for each ``window`` consecutive texts, in the order in which ``df`` is stored: sequences of earlier windows come first."""
+    spark = df.sparkSession
+    scratch = Scratch(spark, "packing")
+
+    def start():
+        encode = shared_encoder(tokenizer)
+        end = np.array([end_id], "<u4").tobytes()
+
+        def step(cols):
+            out = []
+            for i, text, file, row in zip(*cols):
+                ids = encode.packed(text or "") + end
+                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[at : at + 4 * capacity]
+                    out.append((i, k, at // 4, len(part) // 4, zlib.crc32(part), file, row))
+            return out
+
+        return step
+
+    texts = stored_order(df).select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), "_file", "_row")
+    cut = scratch.write(map_rows(texts, "doc_id long, piece int, start long, length long, ids_crc32 long, file string, row long", start), "pieces")
+    before, starts = 0, []
+    for r in sorted(cut.where("piece = 0").groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()):  # a row a file
+        starts.append((r["file"], before))
+        before += r["n"]
+    if not starts:
+        return spark.createDataFrame([], SCHEMA)
+    firsts = F.broadcast(spark.createDataFrame(starts, "file string, first long"))
+    placed = cut.join(firsts, "file").withColumn("place", F.col("first") + F.col("row")).drop("file", "first", "row").withColumn("window", F.floor(F.col("place") / window))
+
+    def seat(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["place", "piece"])
+        held = seats(plan({int(s): int(n) for s, n in pdf["length"].value_counts().items()}, capacity))
+        sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
+        lengths = pdf["length"].to_numpy()
+        for size, (ranks, bases, each, offsets) in held.items():
+            at = np.flatnonzero(lengths == size)
+            k = np.searchsorted(ranks, np.arange(len(at)), side="right") - 1
+            far = np.arange(len(at)) - ranks[k]
+            sequence[at], offset[at] = bases[k] + far // each[k], offsets[k] + far % each[k] * size
+        return pdf.drop(columns=["place"]).assign(sequence_id=sequence, offset=offset)
+
+    seated = scratch.write(placed.groupBy("window").applyInPandas(seat, f"{SCHEMA}, window long"), "seated")
+    before, starts = 0, []
+    for r in sorted(seated.groupBy("window").agg(F.max("sequence_id").alias("last")).collect()):  # a row for ``window`` texts
+        starts.append((r["window"], before))
+        before += r["last"] + 1
+    firsts = F.broadcast(spark.createDataFrame(starts, "window long, first long"))
+    scratch.keep_only("seated")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    return seated.join(firsts, "window").select(*columns, (F.col("first") + F.col("sequence_id")).alias("sequence_id"), "offset")
