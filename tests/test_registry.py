@@ -17,7 +17,7 @@ def test_functions_in_sql(spark):
 
 def test_error_texts(spark):
     got = spark.range(1).select(errors.tokenizer_error(F.lit(9)), errors.tree_error(F.lit(36)), errors.tree_error(F.lit(99))).first()
-    assert tuple(got) == ("duplicate attribute", "select in scope", "unknown error") and (len(errors.TOKENIZER_TEXTS), len(errors.TREE_TEXTS)) == (49, 42)
+    assert tuple(got) == ("duplicate attribute", "select in scope", "unknown error") and (len(errors.TOKENIZER), len(errors.TREE)) == (49, 42)
 
 
 def test_style_lifecycle(spark):

@@ -171,7 +171,7 @@ def test_match_first_and_one_shuffle(table):
 @pytest.mark.parametrize(
     "text, value, spec",
     [
-        ("div  >p.a#b[ x = 'y' i ]", 'div > p#b.a[x="y"i]', (1, 2, 2)), ("a:not(.b, #c)", "a:not(.b, #c)", (1, 0, 1)), ("li:nth-child(even)", "li:nth-child(2n)", (0, 1, 1)),
+        ("div  >p.a#b[ x = 'y' i ]", 'div > p.a#b[x="y"i]', (1, 2, 2)), ("a:not(.b, #c)", "a:not(.b, #c)", (1, 0, 1)), ("li:nth-child(even)", "li:nth-child(even)", (0, 1, 1)),
         (":where(#a) b", ":where(#a) b", (0, 0, 1)), ("a::after", "", None), ("p >", "", None), ("a:is(b, :bad)", "a:is(b)", (0, 0, 2)), ("a:not(:visited)", "", None), ("\\31 a", "", None),
     ],
 )
@@ -179,7 +179,7 @@ def test_parse(text, value, spec):
     if text.startswith("\\"):
         assert S.parse(text).selectors[0].parts[0].tag == "1a"
         return
-    assert S.parse(text).value == value and S.list_specificity(text) == spec and bool(S.parse(text).errors) == (value == "")
+    assert S.parse(text).value == value and S.list_specificity(text) == spec and bool(S.parse(text).selectors) == (value != "")
 
 
 def test_entry_points():

@@ -30,7 +30,7 @@ FUNCTIONS = {
     "wm_punycode_decode": (text.punycode_decode, "string"), "wm_normalize": (lambda s, form: text.U.normalize(form, s), "string"),
     "wm_decode": (lambda data, name: (lambda n: n and encoding.decode(bytes(data), n)[0])(encoding.label_name(name)), "string"),
     "wm_sniff_encoding": (lambda data: encoding.determine(bytes(data)), "string"), "wm_serialize_html": (lambda s: html.serialize_document(html.parse(s)), "string"),
-    "wm_selector_valid": (lambda s: not selectors.parse(s).errors, "boolean"),
+    "wm_selector_valid": (lambda s: bool(selectors.parse(s).selectors), "boolean"),
 }
 NODE_COLUMNS = "node_id int, parent_id int, root string, depth int, subtree_end int, sib_ix int, elem_ix int, kind string, ns string, tag string, is_known boolean, attrs array<struct<name:string,value:string>>, data string"
 

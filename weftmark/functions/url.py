@@ -40,8 +40,10 @@ def percent(s: str, keep_out: frozenset[str], encoding: str = "utf-8") -> str:
             try:
                 raw = c.encode(encoding)
             except UnicodeEncodeError:
-                raw = f"&#{ord(c)};".encode() if encoding != "utf-8" else b"\xef\xbf\xbd"
-            out.append("".join(f"%{b:02X}" for b in raw))
+                out.append(f"%26%23{ord(c)}%3B" if encoding != "utf-8" else "%EF%BF%BD")
+                continue
+            # bytes of a character that are safe by themselves stay
+            out.append("".join(chr(b) if " " <= chr(b) <= "~" and chr(b) not in keep_out else f"%{b:02X}" for b in raw))
         else:
             out.append(c)
     return "".join(out)

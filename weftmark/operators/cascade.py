@@ -41,7 +41,7 @@ def matched_branches(nodes: DataFrame, selectors: list[str]) -> DataFrame:
         hits = []
         for text in selectors[at : at + PER_PLAN]:
             parsed = S.parse(text)
-            if parsed.errors:
+            if not parsed.selectors:
                 continue  # the whole list must be valid
             for branch in parsed.selectors:
                 spec = F.struct(*[F.lit(x).alias(n) for n, x in zip("abc", S.specificity(branch))])
