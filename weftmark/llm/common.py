@@ -54,13 +54,16 @@ def per_text(df: DataFrame, schema: str, start: Callable[[], Callable[[str | Non
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, from the session; a local one is set only where none is."""
+    """The cluster's checkpoint folder, from the session. Where none is set a local session gets one of its own; a cluster's
+    executors could not read each other's, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
         held = context._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="weftmark-checkpoint-")
@@ -74,6 +77,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.paths = spark, f"{shared_folder(spark)}/weftmark-{name}-{uuid.uuid4().hex}", []
+        _opened.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{len(self.paths)}"
@@ -93,6 +97,32 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.paths[k])
             path.getFileSystem(conf).delete(path, True)
 
+    def close(self) -> None:
+        """Delete all tables."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_opened: list[Scratch] = []
+
+
+def close_since(mark: int) -> None:
+    """Delete the tables of every ``Scratch`` opened since ``mark`` (see ``opened``): for callers whose results are stored."""
+    while len(_opened) > mark:
+        _opened.pop().close()
+
+
+def opened() -> int:
+    return len(_opened)
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, salt_by: str, salts: int = 16) -> DataFrame:
+    """An inner join on ``key`` whose left rows of one key are spread over ``salts`` tasks by ``salt_by``; for right sides with
+    one narrow row a key, which travels ``salts`` times."""
+    spread = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return spread.join(copies, [key, "_salt"]).drop("_salt")
+
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmark.llm.common import Scratch
+from weftmark.llm.common import Scratch, salted_join
 
 
 def _print(edges: DataFrame):
@@ -17,16 +17,18 @@ def _print(edges: DataFrame):
 def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (longs a, b); the root is the component's smallest node.
 
-    Each round joins edges with per-node minima (partially aggregated before the shuffle), so a hub is never
-    gathered in one task, and writes its edges to the shared folder. Rounds grow with the logarithm of the size."""
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    Each round joins edges with per-node minima (partially aggregated before the shuffle). These joins are salted by the other
+    end, so the edges of a hub are spread over several tasks; each round writes its edges to the shared folder. Rounds grow
+    with the logarithm of the size. No edges give no rows; repeated edges and loops count once or not at all; edges with a
+    null end are none."""
+    now = edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     seen = None
     for k in range(most):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = salted_join(both, least, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = salted_join(large, low, "a", "b").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = scratch.write(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), f"edges{k}")
         if k:
             scratch.drop(len(scratch.paths) - 2)
