@@ -259,6 +259,56 @@ def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     assert got == brute_groups(rows)
 
 
+def grouped_rows():
+    """Texts that share their rarest shingles and their size by sixes: some of them near copies, some not."""
+    draw = random.Random(5)
+    word = lambda tag, n: [f"{tag}{k}" for k in range(n)]
+    tails = []
+    common = draw.choices(word("c", 300), k=95)
+    for j in range(6):
+        tail = list(common)
+        if j < 4:
+            tail[20 + 15 * j] = f"v{j}"
+        else:
+            tail[10:50] = draw.choices(word("d", 300), k=40)
+        tails.append(tail)
+    rows = [(100 * i + j, " ".join(word(f"r{i}x", 40) + tails[j])) for i in range(9) for j in range(6)]
+    return rows + [(7000 + k, rows[k][1].upper()) for k in range(5)]
+
+
+def brute_links(rows, pct=80):
+    words = [t.lower().split() for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set() for w in words]
+    linked = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= pct * len(a | b)
+    return sorted((i, sum(linked(sets[k], sets[m]) for m in range(len(rows)) if m != k)) for k, (i, _) in enumerate(rows))
+
+
+def test_groups_of_several_sets(spark, monkeypatch):
+    """Sets with equal prefixes and sizes are one group; its members link with each other or not, and all links are found."""
+    rows = grouped_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sizes = []
+    fold = setjoin._fold
+    monkeypatch.setattr(setjoin, "_fold", lambda members: sizes.append(members.groupBy("gid").count().agg(F.max("count")).first()[0]) or fold(members))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in setjoin.near_duplicates(df).collect())
+    assert sizes == [6] and got == brute_groups(rows)
+    counts = sorted((r["doc_id"], r["n_links"]) for r in setjoin.link_counts(df).collect())
+    assert counts == brute_links(rows)
+
+
+def test_link_counts_match_brute_force(spark):
+    rows = [(i, t) for i, t in near_rows() if i is not None and t is not None]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted((r["doc_id"], r["n_links"]) for r in setjoin.link_counts(df).collect()) == brute_links(rows)
+
+
+def test_near_duplicates_of_a_very_long_text(spark):
+    words = [f"w{k % 7919}x{k % 13}" for k in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-900])), (3, " ".join(words[: len(words) // 2])), (4, " ".join(words))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in setjoin.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 1}
+
+
 def test_near_duplicates_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert setjoin.near_duplicates(none).count() == 0 and setjoin.keep_one(none).count() == 0
