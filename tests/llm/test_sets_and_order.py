@@ -89,6 +89,16 @@ def test_snapshots(spark):
     assert chat.collapse_and_render(df.limit(0)).count() == 0
 
 
+def test_snapshots_of_hot_and_very_long_turns(spark):
+    """Many equal and null turns in one conversation, a very long text, and copies that differ at its end alone."""
+    long = "x " * 400_000
+    turns = [(1, None, "user", f"n{k % 7}") for k in range(3000)] + [(1, 5, "user", "same")] * 2000 + [(2, 0, "user", long), (3, 0, "user", long), (3, 1, "user", "b"), (4, 0, "user", long + "y")]
+    got = Counter()
+    for r in chat.collapse_and_render(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)).collect():
+        got[r["conv_id"], r["n_turns"]] += 1
+    assert got == {(1, 5000): 5000, (3, 2): 2, (4, 1): 1}
+
+
 # ---- mixing
 def check_lag(slots, weights):
     total, seen = sum(weights.values()), Counter()

@@ -7,12 +7,14 @@ hash is an inner hash of another one is a snapshot; an anti-join keeps the other
 copies the one with the smallest id. The kept turns are rendered one by one.
 
 A conversation is cut into blocks of ``block`` turn numbers, so the running sums of a very long
-one are spread over many tasks; copies are collapsed to one hash each, with map-side partial
-aggregation, before the anti-join, so no hash is hot on either side of it.
+one are spread over many tasks. Texts are shuffled once, by block, and stored with their position and the sums inside their
+block; everything up to the anti-join works on the stored numbers without the texts, and the texts of kept blocks are read
+back. Copies are collapsed to one hash each, with map-side partial aggregation, before the anti-join, so no hash is hot on
+either side of it.
 
 Defined results: rows with a null id form one conversation, whose id is null; turns are ordered
 by number (nulls first), then role, then text, and repeated rows are turns of their own; null
-roles and texts count as empty; an empty table gives no rows; extra columns are ignored.
+roles and texts count as empty; texts of any length are read whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,45 +22,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftmark.llm.common import Scratch
+
 MASK = (1 << 31) - 1
 SUMS = ["h0", "h1", "h2", "h3"]
+#: A conversation (null ids told apart by a flag, so that plain equality serves) and a block of it.
+CONV, BLOCK = ["conv", "no_id"], ["conv", "no_id", "block"]
 
 
 def _before(col: str, order: Window) -> Column:
     return F.coalesce(F.sum(col).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def rolling(df: DataFrame, block: int = 256, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, turn, role, text, pos (from 1) and the rolling hash h0..h3 of the turns up to pos."""
-    turns = df.select(
-        F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
-        F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-    ).withColumn("block", F.floor(F.col("turn") / block))
-    counts = turns.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"))
-    by_block = Window.partitionBy("conv_id").orderBy("block")
-    starts = counts.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), _before("n", by_block).alias("before"))
-    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    placed = turns.join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b"))).drop("c", "b")
-    placed = placed.withColumn("pos", F.col("before") + F.row_number().over(inside)).drop("before")
+def placed_turns(df: DataFrame, block: int, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """Every turn with its block, its position from 1 and s0..s3, the sums of hash parts from its block's begin up to it."""
+    conv = F.col(conv_col).cast("long")
+    keys = [F.coalesce(conv, F.lit(0).cast("long")).alias("conv"), conv.isNull().alias("no_id"), F.coalesce(F.floor(F.col(turn_col).cast("long") / block), F.lit(-(1 << 62))).cast("long").alias("block")]
+    counts = df.select(*keys).groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select(*BLOCK, _before("n", Window.partitionBy(*CONV).orderBy("block")).alias("before"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    turns = df.select(*keys, F.col(turn_col).cast("long").alias("turn"), text(role_col).alias("role"), text(text_col).alias("text"))
+    inside = Window.partitionBy(*BLOCK).orderBy("turn", "role", "text")
+    # join, numbers and sums use one partitioning: texts move once
+    numbered = turns.join(starts.hint("merge"), BLOCK).withColumn("pos", F.col("before") + F.row_number().over(inside))
     a, b = F.xxhash64("pos", "role", "text"), F.xxhash64("text", "pos", F.length("role"), "role")
     parts = [a.bitwiseAND(MASK), F.shiftrightunsigned(a, 33), b.bitwiseAND(MASK), F.shiftrightunsigned(b, 33)]
-    hashed = placed.select("*", *[p.alias(f"p{k}") for k, p in enumerate(parts)])
-    totals = hashed.groupBy("conv_id", "block").agg(*[F.sum(f"p{k}").alias(f"p{k}") for k in range(4)])
-    earlier = totals.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), *[_before(f"p{k}", by_block).alias(f"q{k}") for k in range(4)])
+    hashed = numbered.select(*BLOCK, "turn", "role", "text", "pos", *[p.alias(f"p{k}") for k, p in enumerate(parts)])
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    summed = hashed.select("conv_id", "turn", "role", "text", "block", "pos", *[F.sum(f"p{k}").over(upto).alias(f"s{k}") for k in range(4)])
-    both = summed.join(earlier, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b")))
-    return both.select("conv_id", "turn", "role", "text", "pos", *[(F.col(f"s{k}") + F.col(f"q{k}")).alias(f"h{k}") for k in range(4)])
+    return hashed.select(*BLOCK, "role", "text", "pos", *[F.sum(f"p{k}").over(upto).alias(f"s{k}") for k in range(4)])
+
+
+def rolling(placed: DataFrame) -> DataFrame:
+    """conv, no_id, pos and the rolling hash h0..h3 of the turns up to pos, without the texts."""
+    narrow = placed.select(*BLOCK, "pos", *[f"s{k}" for k in range(4)])
+    totals = narrow.groupBy(*BLOCK).agg(F.max(F.struct("pos", *[f"s{k}" for k in range(4)])).alias("last")).select(*BLOCK, "last.*")
+    by_block = Window.partitionBy(*CONV).orderBy("block")
+    earlier = totals.select(*BLOCK, *[_before(f"s{k}", by_block).alias(f"q{k}") for k in range(4)])
+    return narrow.join(earlier, BLOCK).select(*CONV, "pos", *[(F.col(f"s{k}") + F.col(f"q{k}")).alias(f"h{k}") for k in range(4)])
 
 
 def maximal(rolled: DataFrame) -> DataFrame:
-    """conv_id and n_turns of the conversations that are no proper prefix of another; of copies, the smallest id."""
-    ends = rolled.groupBy("conv_id").agg(F.max(F.struct("pos", *SUMS)).alias("last")).select("conv_id", "last.*")
-    whole = ends.groupBy("pos", *SUMS).agg(F.min("conv_id").alias("conv_id"))
-    last = ends.select(F.col("conv_id").alias("c"), F.col("pos").alias("n"))
-    # only inner prefixes can swallow others; those that end no conversation at all are dropped by the join itself
-    inner = rolled.join(last, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("pos") < F.col("n")), "left_semi").select("pos", *SUMS).distinct()
-    return whole.join(inner, ["pos", *SUMS], "left_anti").select("conv_id", F.col("pos").alias("n_turns"))
+    """conv, no_id and n_turns of the conversations that are no proper prefix of another; of copies, the smallest id."""
+    ends = rolled.groupBy(*CONV).agg(F.max(F.struct("pos", *SUMS)).alias("last")).select(*CONV, "last.*")
+    # a null id only stands for copies that have none else
+    whole = ends.groupBy("pos", *SUMS).agg(F.min(F.struct("no_id", "conv")).alias("least"))
+    # a prefix is an inner one if more conversations reach its end than end there
+    reached = rolled.groupBy("pos", *SUMS).agg(F.count(F.lit(1)).alias("n"))
+    ended = ends.groupBy("pos", *SUMS).agg(F.count(F.lit(1)).alias("m"))
+    inner = reached.join(ended, ["pos", *SUMS]).where("n > m").select("pos", *SUMS)
+    return whole.join(inner, ["pos", *SUMS], "left_anti").select("least.conv", "least.no_id", F.col("pos").alias("n_turns"))
 
 
 def render(role: Column, text: Column) -> Column:
@@ -68,10 +80,13 @@ def render(role: Column, text: Column) -> Column:
 
 def collapse_and_render(df: DataFrame, block: int = 256, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row for each turn of each maximal conversation; joined in order of ``pos`` they are its formatted text."""
-    rolled = rolling(df, block, conv_col, turn_col, role_col, text_col)
-    kept = maximal(rolled).select(F.col("conv_id").alias("c"), "n_turns")
-    turns = rolled.join(kept, F.col("conv_id").eqNullSafe(F.col("c")))
-    return turns.select("conv_id", "pos", "n_turns", "role", render(F.col("role"), F.col("text")).alias("rendered"))
+    scratch = Scratch(df.sparkSession, "chat")
+    placed = scratch.write(placed_turns(df, block, conv_col, turn_col, role_col, text_col), "turns")
+    kept = maximal(scratch.write(rolling(placed), "rolling"))
+    # by block, so that the turns of a very long conversation stay spread
+    blocks = placed.select(*BLOCK).distinct().join(kept, CONV)
+    turns = placed.select(*BLOCK, "pos", "role", "text").join(blocks, BLOCK)
+    return turns.select(F.when(~F.col("no_id"), F.col("conv")).alias("conv_id"), "pos", "n_turns", "role", render(F.col("role"), F.col("text")).alias("rendered"))
 
 
 ORACLE = """
