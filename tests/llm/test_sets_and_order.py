@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 pytest.importorskip("weftmark.llm")
 from weftmark.llm import ann, chat, components, forest, mixing, packing, ranking, setjoin
 from weftmark.llm.common import Scratch
-from weftmark.llm.queries import TOKENIZERS
+from weftmark.llm.queries import vocabulary
 
-BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+BPE = vocabulary("word_bpe_49k.json")
 
 
 # ---- quality classifier
@@ -140,9 +140,8 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     full = Tokenizer.from_file(BPE)
-    full.encode_special_tokens = True
     draw = random.Random(6)
-    odd = ["l'été IT'S 12ab <|endoftext|> ß ΣΑΣ İ \x1f a b", "中文 😀 é", None, "", "   ", "word, word. (word) don't!!"]
+    odd = ["l'été IT'S 12ab <|endoftext|> ß ΣΑΣ İ \x1f a b", "中文 😀 é", None, "", "   ", "word, word. (word) don't!!", "a <|endoftext|> b", "x<|startoftext|>y<|endoftext|>", "<| endoftext|> <|ENDOFTEXT|>"]
     texts = odd + [" ".join(draw.choices(["alpha", "Beta,", "gamma's", "déjà", "x1y2"], k=draw.randint(1, 120))) for _ in range(300)] + ["tail " * 9000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("length", F.lit("x")).repartition(3)
     got = packing.pack(df, BPE, capacity=128).collect()
@@ -202,6 +201,23 @@ def test_dominance_is_optimal_on_small_instances():
         assert all(sum(s * k for s, k in p) <= 12 for p, _ in packing.plan(Counter(items), 12))
 
 
+def test_packing_reaches_the_lower_bound(spark):
+    """The whole pieces of real documents need no more sequences than their tokens."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = packing.pack(df, BPE).agg(F.sum("length").alias("tokens"), F.countDistinct("sequence_id").alias("sequences")).first()
+    assert got["sequences"] == -(-got["tokens"] // 4096)
+
+
+def test_words_have_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    full, encoder = Tokenizer.from_file(BPE), packing.WordEncoder(BPE)
+    draw = random.Random(2)
+    for _ in range(400):
+        text = "".join(draw.choices("abcdefghijklmnopqrstuvwxyzéßÿ0123456789'.,-!", k=draw.randint(1, 24)))
+        assert np.frombuffer(encoder.packed(text), "<u4").tolist() == full.encode(text, add_special_tokens=False).ids, text
+
+
 # ---- near duplicates
 def brute_groups(rows, pct=80):
     def shingles(t):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("weftmark.llm")
 from weftmark.llm import fertility, licenses, pii, secrets
-from weftmark.llm.queries import TOKENIZERS
+from weftmark.llm.queries import vocabulary
 
 TEXTS = [
     (1, None), (2, ""), (3, " \n\t "), (4, "a b c a b c a b c"), (5, "line one\nline one\n\n\nline two # $"),
@@ -52,7 +52,7 @@ def test_fertility_base_and_verdict(docs):
         failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
         return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), failed
 
-    got = rows(fertility.fertility(docs, f"{TOKENIZERS}/piece_bpe_32k.model"))
+    got = rows(fertility.fertility(docs, vocabulary("piece_bpe_32k.model")))
     keys = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert [tuple(r[k] for k in keys) for r in got] == expected(brute)
     assert all(not r["kept"] for r in got if r["base_failed"])
@@ -63,7 +63,7 @@ def test_fertility_separates_prose_from_noise(spark):
     prose += " ".join(f"sentence about topic number {k} with some other plain vocabulary inside" for k in range(12))
     noise = " ".join("ꙮ" + chr(0x10A00 + k % 90) * 3 + "xq" for k in range(120))
     df = spark.createDataFrame([(1, prose), (2, noise)], "doc_id long, text string")
-    by = {r["doc_id"]: r for r in rows(fertility.fertility(df, f"{TOKENIZERS}/piece_bpe_32k.model", max_repeat_pct=100, bands=fertility.BANDS | {"other": fertility.BANDS["latin"]}))}
+    by = {r["doc_id"]: r for r in rows(fertility.fertility(df, vocabulary("piece_bpe_32k.model"), max_repeat_pct=100, bands=fertility.BANDS | {"other": fertility.BANDS["latin"]}))}
     assert by[1]["kept"] and not by[2]["kept"] and by[2]["byte_share"] > 0.5
 
 
@@ -209,5 +209,5 @@ def test_license_join_is_exact(spark):
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert fertility.fertility(none, f"{TOKENIZERS}/piece_bpe_32k.model").count() == 0
+    assert fertility.fertility(none, vocabulary("piece_bpe_32k.model")).count() == 0
     assert secrets.secret_digest(none).count() == pii.pii_digest(none).count() == licenses.scan_licenses(none).count() == 0

@@ -61,30 +61,32 @@ class WordEncoder:
     """Ids of a word-end BPE vocabulary, as packed little-endian 32-bit numbers, memoised by chunk.
 
     Chunks between ASCII white space are independent of each other in this vocabulary (white space only separates),
-    so a text's ids are its chunks' ids in a row. Plain chunks go through the byte-pair core directly, with the
-    word end as byte 0xFF, which UTF-8 never holds; all others through the full tokenizer."""
+    so a text's ids are its chunks' ids in a row. Plain chunks go through byte-pair merges directly, with the word end as byte 0,
+    which they never hold; all others through the full tokenizer, among them those with the strings of special tokens, which
+    stand for these tokens."""
 
     def __init__(self, path: str, cache: int = 600_000):
         import tiktoken
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
         alphabet = _byte_alphabet()
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         ranks = {}
         for token, k in vocabulary.items():
             core = token.removesuffix("</w>")
-            if all(c in alphabet for c in core) and not token.startswith("<|"):
-                ranks[bytes(alphabet[c] for c in core) + (b"\xff" if core != token else b"")] = k
-        self.core = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+            if all(c in alphabet for c in core):
+                raw = bytes(alphabet[c] for c in core)
+                if 0 not in raw:
+                    ranks[raw + (b"\0" if core != token else b"")] = k
+        self.merges = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks | {b"\0": len(vocabulary)}, special_tokens={})
         self.known, self.pieces = Capped(cache), Capped(cache)
 
     def chunk(self, raw: bytes) -> bytes:
         chunk = raw.decode("utf-8", "surrogatepass")
         low = chunk.lower()
-        if not _PLAIN.fullmatch(low):
+        if "<|" in chunk or not _PLAIN.fullmatch(low):
             return _packed(self.full.encode(chunk, add_special_tokens=False).ids)
         if low.isalpha():
             return self.piece(low)
@@ -95,7 +97,7 @@ class WordEncoder:
         ids = known.get(piece)
         if ids is None:
             known.room()
-            ids = known[piece] = _packed(self.core.encode_single_piece(piece.encode() + b"\xff"))
+            ids = known[piece] = _packed(self.merges.encode_ordinary(piece + "\0"))
         return ids
 
     def packed(self, text: str) -> bytes:

@@ -10,12 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from weftmark.llm import ann, chat, fertility, licenses, mixing, packing, pii, ranking, secrets, setjoin
 from weftmark.llm.common import table
 
-#: Folder of the public vocabulary files.
+#: Folder of the public vocabulary files, where the package that holds them is not installed.
 TOKENIZERS = os.environ.get("WEFTMARK_TOKENIZERS", "/opt/tokenizers")
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file."""
+    if "WEFTMARK_TOKENIZERS" not in os.environ:
+        try:
+            import public_tokenizers
+        except ModuleNotFoundError:
+            pass
+        else:
+            return public_tokenizers.path(name)
+    return f"{TOKENIZERS}/{name}"
+
+
 def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.fertility(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return fertility.fertility(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op2_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +59,7 @@ def op8_groupjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op10_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
