@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftmark.llm import mixing, packing, pii, ranking, setjoin
 from weftmark.llm.common import Scratch, table
-from weftmark.llm.queries import TOKENIZERS
+from weftmark.llm.queries import vocabulary
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
@@ -26,7 +26,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents become token pieces in packed sequences, window after window of the mix."""
-    return packing.pack_in_order(docs, f"{TOKENIZERS}/word_bpe_49k.json", mixing.PERIOD * mixing.BLOCK)
+    return packing.pack_in_order(docs, vocabulary("word_bpe_49k.json"), mixing.PERIOD * mixing.BLOCK)
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixture", mixture), ("sequences", sequences)]
 
