@@ -26,8 +26,13 @@ def vocabulary(name: str) -> str:
     return f"{TOKENIZERS}/{name}"
 
 
+def fertility_vocabularies() -> dict[str, str]:
+    """The vocabularies that measure fertility: one with byte fallback, one of byte-level merges for many languages."""
+    return {"piece": vocabulary("piece_bpe_32k.model"), "multi": vocabulary("byte_bpe_multi_50k.tiktoken")}
+
+
 def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.fertility(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return fertility.fertility(table(spark, sf_dir, "documents"), fertility_vocabularies(), lang_col="lang")
 
 
 def op2_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
