@@ -1,14 +1,19 @@
 """Fertility, secrets, licenses and personal data against plain brute force."""
 
+import base64
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("weftmark.llm")
 from weftmark.llm import fertility, licenses, pii, secrets
-from weftmark.llm.queries import vocabulary
+from weftmark.llm.queries import fertility_vocabularies, vocabulary
 
 TEXTS = [
     (1, None), (2, ""), (3, " \n\t "), (4, "a b c a b c a b c"), (5, "line one\nline one\n\n\nline two # $"),
@@ -52,19 +57,56 @@ def test_fertility_base_and_verdict(docs):
         failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
         return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), failed
 
-    got = rows(fertility.fertility(docs, vocabulary("piece_bpe_32k.model")))
+    got = rows(fertility.fertility(docs, fertility_vocabularies()))
     keys = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert [tuple(r[k] for k in keys) for r in got] == expected(brute)
     assert all(not r["kept"] for r in got if r["base_failed"])
+    # the added columns, from the whole words of each text encoded anew
+    import sentencepiece
+    import tiktoken
+
+    piece = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(vocabulary("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    multi = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for (_, text), r in zip(sorted(TEXTS, key=lambda r: (r[0] is None, r[0] or 0)), got):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        for name, ids, is_byte in (
+            ("piece", [k for w in words for k in piece.encode(w)], lambda k: re.fullmatch("<0x..>", piece.id_to_piece(k))),
+            ("multi", [k for w in words for k in multi.encode_ordinary(w)], lambda k: len(multi.decode_single_token_bytes(k)) == 1 and multi.decode_single_token_bytes(k)[0] >= 128),
+        ):
+            shares = [n / len(ids) for n in Counter(ids).values()]
+            assert r[f"{name}_tokens"] == len(ids)
+            if ids:
+                assert r[f"{name}_chars_per_token"] == sum(map(len, words)) / len(ids)
+                assert math.isclose(r[f"{name}_byte_share"], sum(bool(is_byte(k)) for k in ids) / len(ids))
+                assert math.isclose(r[f"{name}_entropy"], -sum(x * math.log2(x) for x in shares), abs_tol=1e-9)
+
+
+def prose(draw, n):
+    words = "the of river and stone quiet to morning window letter garden is in a that bright lantern over road under hill".split()
+    return " ".join(draw.choices(words, k=n)) + "."
+
+
+def test_fertility_bands_are_learnt_for_each_group(spark):
+    """A text that is usual in one language is rejected in another whose texts look different; rare groups take their script's band."""
+    draw = random.Random(4)
+    codes = lambda n: " ".join("".join(draw.choices("qxzvkjw", k=7)) for _ in range(n))
+    data = [(k, prose(draw, 120), "en") for k in range(300)] + [(1000 + k, codes(120), "zz") for k in range(300)]
+    data += [(2000, codes(120), "en"), (2001, prose(draw, 120), "zz"), (2002, codes(120), "xx"), (2003, prose(draw, 60), "en"), (None, prose(draw, 120), "en"), (2004, prose(draw, 120), None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    by = {r["doc_id"]: r for r in fertility.fertility(df, fertility_vocabularies(), lang_col="lang", max_repeat_pct=100).collect()}
+    assert sum(not by[k]["kept"] for k in range(300)) <= 6 and sum(not by[1000 + k]["kept"] for k in range(300)) <= 6
+    assert not by[2000]["kept"] and not by[2001]["kept"] and by[2002]["group"] == "xx" and by[2003]["kept"] and by[None]["kept"] and by[2004]["group"] == "latin"
 
 
 def test_fertility_separates_prose_from_noise(spark):
-    prose = "The quick brown fox jumps over the lazy dog while seven bright ideas wander through quiet streets, " * 1
-    prose += " ".join(f"sentence about topic number {k} with some other plain vocabulary inside" for k in range(12))
+    text = "The quick brown fox jumps over the lazy dog while seven bright ideas wander through quiet streets, " * 1
+    text += " ".join(f"sentence about topic number {k} with some other plain vocabulary inside" for k in range(12))
     noise = " ".join("ꙮ" + chr(0x10A00 + k % 90) * 3 + "xq" for k in range(120))
-    df = spark.createDataFrame([(1, prose), (2, noise)], "doc_id long, text string")
-    by = {r["doc_id"]: r for r in rows(fertility.fertility(df, vocabulary("piece_bpe_32k.model"), max_repeat_pct=100, bands=fertility.BANDS | {"other": fertility.BANDS["latin"]}))}
-    assert by[1]["kept"] and not by[2]["kept"] and by[2]["byte_share"] > 0.5
+    df = spark.createDataFrame([(1, text), (2, noise)], "doc_id long, text string")
+    bands = {"other": {v: fertility.BANDS["latin"] for v in fertility_vocabularies()}}
+    by = {r["doc_id"]: r for r in rows(fertility.fertility(df, fertility_vocabularies(), max_repeat_pct=100, bands=bands))}
+    assert by[1]["kept"] and not by[2]["kept"] and by[2]["piece_byte_share"] > 0.5
 
 
 def test_secrets(docs):
@@ -80,17 +122,47 @@ def test_secrets(docs):
     assert [(r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in got] == expected(brute)
 
 
-def test_randomness_battery():
-    import random
-
+def test_randomness_battery(spark):
     draw = random.Random(3)
-    alphabet = secrets.ENCODINGS["base62"]
-    keys = ["".join(draw.choices(alphabet, k=40)) for _ in range(50)]
-    found = sum(any(s[0] == "random" for s in secrets.secret_spans(f"the key is {k} here")) for k in keys)
-    assert found >= 45
-    names = ["InternationalStandardOrganisationNumbers2", "ThisIsAVeryLongIdentifierNameForTheTest01", "get_default_configuration_for_the_user_9", "a" * 30 + "B", "AbAbAbAbAbAbAbAbAbAbAbAbAbAb"]
-    assert not any(s[0] == "random" for n in names for s in secrets.secret_spans(f"see {n} there"))
-    assert secrets.encoding_of("00ff" * 8) == "hex" and secrets.encoding_of("0123") == "decimal"
+    make = lambda name, n: "".join(draw.choices(secrets.ENCODINGS[name], k=n))
+    keys = [make("base62", 40) for _ in range(50)] + [make("base32", 56) for _ in range(20)] + [make("hex", 31) for _ in range(10)]
+    names = [
+        "InternationalStandardOrganisationNumbers2", "ThisIsAVeryLongIdentifierNameForTheTest01", "get_default_configuration_for_the_user_9", "a" * 30 + "B", "AbAbAbAbAbAbAbAbAbAbAbAbAbAb",
+        "donaudampfschifffahrtsgesellschaft", "THE_QUICK_BROWN_FOX_JUMPS_OVER", "2024010120240102202401032024", "incomprehensibilities-and-more-words",
+    ]
+    data = [(k, f"the key is {t} here") for k, t in enumerate(keys + names)] + [(900, None), (901, "")]
+    got = {r["doc_id"]: r["n_random"] for r in secrets.secret_digest(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()}
+    assert sum(got[k] for k in range(50)) >= 45 and sum(got[k] for k in range(50, 70)) >= 14
+    assert sum(got[len(keys) + k] for k in range(len(names))) == 0 and got[900] == got[901] == 0
+    assert secrets.encoding_of("00ff" * 8) == "hex" and secrets.encoding_of("0123") == "decimal" and secrets.encoding_of("ABCDEF234567ZZ") == "base32"
+
+
+def test_discoveries_are_those_of_a_weighted_step_over_the_corpus(spark):
+    """Against Benjamini-Hochberg on the list of all candidates, p-values rounded up to the scale."""
+    draw = random.Random(8)
+    texts = []
+    for _ in range(120):
+        parts = []
+        for _ in range(draw.randint(0, 4)):
+            n = draw.randint(20, 60)
+            parts.append("".join(draw.choices(secrets.ENCODINGS[draw.choice(("base62", "lower", "base64", "hex"))], k=n)) if draw.random() < 0.4 else "".join(draw.choices("etaoinshrdlu", weights=range(12, 0, -1), k=n)))
+        texts.append(" ".join(parts))
+    every = [(k, span, 10 ** (-secrets.step_of(p, w) / secrets.STEPS), w, secrets.step_of(p, w)) for k, t in enumerate(texts) for span, p, w in secrets.candidates(t)]
+    mean = sum(e[3] for e in every) / len(every)
+    order = sorted(every, key=lambda e: e[2])
+    passing = [n for n, e in enumerate(order, 1) if e[4] and e[2] * mean <= 0.01 * sum(x[2] <= e[2] for x in order) / len(order)]
+    cut = order[max(passing) - 1][2] if passing else -1
+    want = {k: sorted(e[1] for e in every if e[0] == k and e[2] <= cut and e[4]) for k in range(len(texts))}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: sorted((s["start"], s["end"]) for s in r["spans"] if s["kind"] == "random") for r in secrets.find_secrets(df).collect()}
+    assert got == want and 20 < sum(map(len, got.values())) < len(every)
+
+
+def test_fisher():
+    assert math.isclose(secrets.fisher(0.3), 0.3) and secrets.fisher(1, 1, 1) == 1
+    draw = random.Random(1)
+    below = sum(secrets.fisher(draw.random(), draw.random(), draw.random()) < 0.1 for _ in range(20_000))
+    assert abs(below / 20_000 - 0.1) < 0.01
 
 
 def test_pii(docs):
@@ -209,5 +281,5 @@ def test_license_join_is_exact(spark):
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert fertility.fertility(none, vocabulary("piece_bpe_32k.model")).count() == 0
-    assert secrets.secret_digest(none).count() == pii.pii_digest(none).count() == licenses.scan_licenses(none).count() == 0
+    assert fertility.fertility(none, fertility_vocabularies()).count() == 0
+    assert secrets.secret_digest(none).count() == secrets.find_secrets(none).count() == pii.find_pii(none).count() == pii.pii_digest(none).count() == licenses.scan_licenses(none).count() == 0
