@@ -13,7 +13,8 @@ A document's rank in its source comes from counts of (source, hash bucket), runn
 buckets and row numbers inside them, so a hot source is spread over many tasks.
 
 Defined results: null and unlisted sources share the ``other`` weight; equal ids get places in
-the order of a hash of their rows; null ids sort by that hash too; an empty table gives no rows.
+the order of a hash of their rows (maps by their text); null ids sort by that hash too; texts are only hashed, whatever their
+length; clashing column names are told apart by a prefix; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ OTHER_NAME = "(other)"
 #: Slots of a period of the production mix, and documents of a block.
 PERIOD, BLOCK = sum(WEIGHTS.values()) + OTHER, 64
 #: Most slots of a period and most weighted sources: what the driver plans and broadcasts is bounded by them.
-MAX_PERIOD, MAX_SOURCES = 10_000, 1_000
+MAX_PERIOD, MAX_SOURCES = 1_000, 100
 
 
 def edf_period(weights: Mapping[str, int]) -> list[str]:
@@ -115,7 +116,7 @@ def mix(
     spans, slots = slot_rows({s: -(-n // block_size) for s, n in rows.items()}, weights)
     buckets = max(shuffle_width(spark), min(1 << 16, sum(rows.values()) // 4096))
     p = prefix
-    tie = F.xxhash64(*df.columns)
+    tie = F.xxhash64(*[F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in df.schema.fields])
     keyed = df.withColumns({f"{p}source": key, f"{p}h": F.xxhash64(F.coalesce(F.col(id_col).cast("long"), tie), F.lit(17)), f"{p}tie": tie})
     keyed = keyed.withColumn(f"{p}bucket", F.pmod(F.shiftright(f"{p}h", 8), F.lit(buckets)).cast("int"))
     sizes = keyed.groupBy(f"{p}source", f"{p}bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -124,7 +125,7 @@ def mix(
     inside = Window.partitionBy(f"{p}source", f"{p}bucket").orderBy(f"{p}h", F.col(id_col), f"{p}tie")
     ranked = keyed.join(starts, [f"{p}source", f"{p}bucket"]).withColumn(f"{p}rank", F.col(f"{p}before") + F.row_number().over(inside) - 1)
     blocked = ranked.withColumns({f"{p}block": F.floor(F.col(f"{p}rank") / block_size), f"{p}place": (F.col(f"{p}rank") % block_size).cast("int")})
-    # both are bounded by the weights, not the data: at most 2 * MAX_SOURCES phases of at most MAX_PERIOD slots
+    # both are bounded by the weights, not the data: at most 2 * MAX_SOURCES phases of at most MAX_PERIOD slots, a few MB
     spans = F.broadcast(_rows(spark, spans, "s:string,k:int,lo:long,hi:long,a:long,period:long", p))
     slots = F.broadcast(_rows(spark, slots, "s:string,k:int,j:long,base:long", p).withColumnsRenamed({f"{p}s": f"{p}s2", f"{p}k": f"{p}k2"}))
     c = lambda name: F.col(p + name)
