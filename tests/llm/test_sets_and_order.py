@@ -62,6 +62,37 @@ def test_ranking_edges(spark):
     assert kept.columns == full.columns and {r["doc_id"] for r in kept.collect()} <= set(range(400))
 
 
+def test_ranking_takes_an_id_once(spark):
+    """Repeated ids, equal texts and ties: one fitted row an id, equal scores for equal texts."""
+    docs, labels = labelled(spark, 120)
+    again = docs.where("doc_id = 8").crossJoin(spark.range(500)).drop("id")
+    many = docs.unionByName(again)
+    one, two = (ranking.train(d, labels) for d in (docs, many))
+    assert np.allclose(one.weights, two.weights) and one.cut_at == two.cut_at
+    scores = {r["score"] for r in ranking.score_quality(many.where("doc_id = 8"), labels).collect()}
+    assert len(scores) <= 1
+    assert ranking.score_quality(spark.createDataFrame([(1, "long " * 300_000), (2, None)], "doc_id long, text string"), labels).count() == 2
+
+
+def test_ranking_minimises_the_pairs_loss():
+    """Weights against a plain gradient descent on all sampled pairs; the cut is the bad rows' quantile."""
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(80, len(ranking.FEATURES)))
+    y = (x[:, 0] + 0.5 * x[:, 3] + draw.normal(size=80) > 0).astype(int)
+    model = ranking.fit(x, y, ridge=0.05)
+    z = ranking.expand((x - model.mean) / model.scale)
+    good, bad = np.nonzero(y == 1)[0], np.nonzero(y == 0)[0]
+    order = np.random.default_rng(7)
+    n = 8 * max(len(good), len(bad))
+    d = z[np.resize(order.permutation(good), n)] - z[order.permutation(np.resize(bad, n))]
+    w = np.zeros(d.shape[1])
+    for _ in range(6000):
+        w -= 0.2 * (0.05 * w - (d / (1 + np.exp(d @ w))[:, None]).mean(0))
+    assert np.allclose(w, model.weights, atol=2e-3)
+    u = np.sort(z @ model.weights)
+    assert (u < model.cut_at).sum() == len(bad)
+
+
 # ---- chat
 TURNS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (2, 0, "user", "hi"), (2, 1, "assistant", "hello"), (2, 2, "user", "more"), (3, 0, "user", "hi"),
@@ -135,6 +166,42 @@ def test_mix(spark):
     assert mixing.mix_plan(df.limit(0)).count() == 0
 
 
+def brute_mix(counts, weights, block):
+    """The source and block of every slot, slot by slot: of the released blocks that are left the earliest deadline, ties by name."""
+    left, done, out = {s: -(-n // block) for s, n in counts.items() if n}, dict.fromkeys(counts, 0), []
+    while left:
+        # whole periods while every source has blocks for one, then one short period
+        whole = all(n >= weights[s] for s, n in left.items())
+        parts = {s: weights[s] if whole else min(n, weights[s]) for s, n in left.items()}
+        period, sent = sum(parts.values()), dict.fromkeys(parts, 0)
+        for t in range(period):
+            ready = [(-(-(sent[s] + 1) * period // a), s) for s, a in parts.items() if sent[s] < a and sent[s] * period // a <= t]
+            s = min(ready)[1]
+            out.append((s, done[s] + sent[s]))
+            sent[s] += 1
+        for s in parts:
+            done[s] += parts[s]
+            left[s] -= parts[s]
+        left = {s: n for s, n in left.items() if n}
+    return out
+
+
+def test_mix_matches_a_plain_scheduler(spark):
+    draw = random.Random(17)
+    for weights, block in (({"a": 3, "b": 2, "c": 1}, 4), ({"a": 5, "b": 1}, 1), ({"a": 1, "b": 1, "c": 7}, 3)):
+        rows = [(k, draw.choice(["a", "a", "a", "b", "c", None]), "x" * 50_000 if k == 3 else "t", {"k": str(k)}) for k in range(230)] + [(5, "a", "t", {"k": "5"})] * 3 + [(None, "b", "n", None)] * 2
+        df = spark.createDataFrame(rows, "doc_id long, source string, text string, extra map<string,string>").repartition(3)
+        plan, p = mixing.mix(df, weights, other=1, block_size=block)
+        got = {}
+        for r in plan.collect():
+            got.setdefault(r[f"{p}slot"], []).append((r[f"{p}source"], r[f"{p}block"], r[f"{p}place"]))
+        counts = Counter(s if s in weights else mixing.OTHER_NAME for _, s, *_ in rows)
+        want = brute_mix(counts, weights | {mixing.OTHER_NAME: 1}, block)
+        assert [got[t][0][:2] for t in sorted(got)] == want and sorted(got) == list(range(len(want)))
+        assert all(sorted(x[2] for x in v) == list(range(len(v))) and len({x[:2] for x in v}) == 1 for v in got.values())
+        assert sum(map(len, got.values())) == len(rows)
+
+
 # ---- packing
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer

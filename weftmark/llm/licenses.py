@@ -3,15 +3,16 @@
 A block is a line, a paragraph (lines up to an empty one) of two lines or more, a sentence of
 either, or, for each template, any run of as many words as the template has, wherever it begins
 and whatever lines it crosses: so notices are found inside texts of any length. A template and a
-block match when the block's word set holds at least ``threshold`` of the template's.
+block match when the block's word set holds at least ``threshold`` of the template's, however many
+other words the block holds. Where a block matches two templates of different labels and one's words are all the other's too,
+it counts for the one it holds more of, in equal shares for the larger (a notice of CC BY-NC is none of CC BY, nor the reverse).
 Words are ordered by how many documents of the whole corpus hold them, rarest first (counted
 for the templates' words only, so what is broadcast is bounded by the templates). Under that
 order a matching block must hold one of the first ``n - ceil(threshold * n) + 1`` words of the
-template (prefix filter), have at least ``ceil(threshold * n)`` and at most ``longest * n``
-words (length filter), and leave room enough behind the first shared word (positional filter);
-the survivors are counted exactly. The upper length bound is on lines, paragraphs and sentences as
-wholes, which hold a template's words by chance when many times as long; the runs inside them have
-none. Runs are counted at every position of every text that holds enough of the template's words.
+template (prefix filter), have at least ``ceil(threshold * n)`` words (length filter; ``longest`` may set an upper bound, in
+template sizes, on lines, paragraphs and sentences, none by default), and leave room enough behind the first shared word
+(positional filter); the survivors are counted exactly. Runs are counted at every position of every text that holds enough of
+the template's words.
 
 Two passes over the texts; the shuffle carries one row a template word and task. Defined
 results: a null text is an empty one; no words, no labels, score 0; texts of any length are
@@ -109,11 +110,13 @@ def word_order(df: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLAT
 class Matcher:
     """Inverted index over the templates' prefixes; ``best(words)`` gives each label's largest containment at or over the threshold."""
 
-    def __init__(self, templates, order: Mapping[bytes, int], threshold: float, longest: float):
+    def __init__(self, templates, order: Mapping[bytes, int], threshold: float, longest: float | None = None):
         self.sets = template_sets(templates)
         self.lengths = [len(words_of(t)) for texts in templates.values() for t in texts]
         self.longest = longest
         self.need = [math.ceil(threshold * len(s) - 1e-9) for _, s in self.sets]
+        #: Templates of other labels whose words are a part of a template's, or the reverse.
+        self.rivals = [[j for j, (other, t) in enumerate(self.sets) if other != label and (s < t or t < s)] for label, s in self.sets]
         self.index: dict[bytes, list[tuple[int, int]]] = {}
         for k, (_, s) in enumerate(self.sets):
             ranked = sorted(s, key=lambda w: (order.get(w, 0), w))
@@ -121,6 +124,16 @@ class Matcher:
                 self.index.setdefault(w, []).append((k, at))
         self.keys = frozenset(self.index)
 
+    def wins(self, k: int, shared: int, block) -> bool:
+        """Whether no rival holds a larger share in the block, or the same with more words."""
+        mine = shared / len(self.sets[k][1]), len(self.sets[k][1])
+        for j in self.rivals[k]:
+            t = self.sets[j][1]
+            n = len(t.intersection(block))
+            if n >= self.need[j] and (n / len(t), len(t)) > mine:
+                return False
+        return True
+
     def possible(self, held: set[bytes]) -> list[int]:
         """The templates of which the words of a whole text hold enough."""
         return [k for k in {k for w in self.keys & held for k, _ in self.index[w]} if len(self.sets[k][1] & held) >= self.need[k]]
@@ -136,11 +149,12 @@ class Matcher:
                 if w in s:
                     last[w] = at
                     recent.append((at, w))
-                    while recent[0][0] <= at - n:
-                        old, x = recent.popleft()
-                        if last[x] == old:
-                            del last[x]
-                    most = max(most, len(last))  # the largest count is reached where a word of the template comes in
+                while recent and recent[0][0] <= at - n:
+                    old, x = recent.popleft()
+                    if last[x] == old:
+                        del last[x]
+                if len(last) > most and len(last) >= self.need[k] and self.wins(k, len(last), words[max(at - n + 1, 0) : at + 1]):
+                    most = len(last)
             if most >= self.need[k]:
                 out[label] = max(out.get(label, 0.0), most / len(s))
         return out
@@ -157,10 +171,10 @@ class Matcher:
         out: dict[str, float] = {}
         for k, at in first.items():
             label, s = self.sets[k]
-            if not self.need[k] <= len(block) <= self.longest * len(s) or len(s) - at < self.need[k]:
+            if len(block) < self.need[k] or self.longest is not None and len(block) > self.longest * len(s) or len(s) - at < self.need[k]:
                 continue
             shared = len(s & block)
-            if shared >= self.need[k]:
+            if shared >= self.need[k] and self.wins(k, shared, block):
                 out[label] = max(out.get(label, 0.0), shared / len(s))
         return out
 
@@ -184,7 +198,7 @@ def scan_licenses(
     phrases: Mapping[str, str] = PHRASES,
     templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
     threshold: float = 0.8,
-    longest: float = 4.0,
+    longest: float | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
