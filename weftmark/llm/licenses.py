@@ -197,7 +197,7 @@ def scan_licenses(
     df: DataFrame,
     phrases: Mapping[str, str] = PHRASES,
     templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
-    threshold: float = 0.8,
+    threshold: float = 0.85,
     longest: float | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
