@@ -34,12 +34,10 @@ from weftmark.llm.common import map_rows, per_text
 #: phrase: label
 PHRASES: dict[str, str] = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: label: public license notices
+#: label: public license notices. What a phrase says in a few common words is no template: as a set such words stand in many texts.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "mit": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-        "Released under the MIT License.",
-        "This project is licensed under the MIT License.",
     ),
     "apache-2": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
