@@ -493,7 +493,7 @@ def _roots(join: _Join) -> DataFrame:
     first = _pairs(join.group_rows(), pct, join.n_shared, best=1)
     # of the partners found under its shingles each group tries the most promising one, and among those with smaller ids
     ends = first.groupBy("a", "b").agg(F.max("slack").alias("slack")).select("a", "b", "slack", F.explode(F.array("a", "b")).alias("who"))
-    by = F.struct("slack", F.xxhash64("a", "b"), "a", "b")
+    by = F.struct("slack", "a", "b")  # ties alike for all, so that near copies choose the same partner and end in one component
     chosen = ends.groupBy("who").agg(F.max_by(F.struct("a", "b"), by).alias("p"), F.max_by(F.struct("a", "b"), F.when(F.col("who") == F.col("b"), by)).alias("q"))
     chosen = chosen.select(F.explode(F.array("p", "q")).alias("p")).select("p.a", "p.b").where("a IS NOT NULL").distinct()
     heads = join.members.groupBy("gid").agg(F.min("sid").alias("sid"))
