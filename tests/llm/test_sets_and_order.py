@@ -369,6 +369,13 @@ def grouped_rows():
     return rows + [(7000 + k, rows[k][1].upper()) for k in range(5)]
 
 
+def test_near_duplicates_of_very_many_copies(spark):
+    rows = [(9000 - k, "one two three four five six seven " + "x" * (k % 2)) for k in range(2600)] + [(1, "alone with other words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = Counter((r["component_id"], r["n_shingles"]) for r in setjoin.near_duplicates(df).collect())
+    assert got == {(6402, 3): 1300, (6401, 4): 1300, (1, 1): 1}
+
+
 def brute_links(rows, pct=80):
     words = [t.lower().split() for _, t in rows]
     sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set() for w in words]

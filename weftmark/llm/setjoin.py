@@ -411,6 +411,7 @@ class _Join:
         counters = context.broadcast(counts)
         words = self.documents.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).first()
         total = (words["n"] or 0) * (100 - pct) // 100 + words["d"]
+        self.n_documents = words["d"]
         buckets = max(shuffle_width(self.spark), -(-total // TASK_ENTRIES))
         # a counter stands for several shingles: only what is far above the usual can be one that many groups hold
         hot = max(TASK_ENTRIES // 4, 8 * int(counts.mean()))
@@ -527,7 +528,11 @@ def near_duplicates(df: DataFrame, width: int = 5, pct: int = 80, id_col: str =
     # ids of components are smallest document ids; sets that are linked with none keep their own
     linked = salted_join(roots.withColumnRenamed("node", "sid").join(join.sets_of.select("sid", "low"), "sid"), _lowest(roots, join.sets_of), "root", "sid")
     named = join.sets_of.select("sid", "low").join(linked.select("sid", "component_id"), "sid", "left").select("sid", F.coalesce("component_id", "low").alias("component_id"))
-    out = documents.where("n > 0").select("doc_id", "n", "sid").join(named, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    # sets with very many copies, at most 10,000 of them, go to the documents; the other documents go to their sets
+    rows = documents.where("n > 0").select("doc_id", "n", "sid")
+    heavy = rows.groupBy("sid").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > max(1_000, join.n_documents // 10_000)).select("sid")
+    light = rows.join(F.broadcast(heavy), "sid", "left_anti").join(named, "sid")
+    out = rows.join(F.broadcast(named.join(heavy, "sid")), "sid").unionByName(light).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = documents.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
 
