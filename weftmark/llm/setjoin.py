@@ -420,13 +420,13 @@ class _Join:
         self.members = kept.where("token IS NULL").select("gid", "sid")
         self.n_shared = self.shared.count()
         #: One row a set; ``low`` is its smallest document id.
-        self.sets_of = self.documents.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("wide").alias("wide"), F.min("doc_id").alias("low"))
+        self.sets_of = scratch.write(self.documents.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("wide").alias("wide"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")), "distinct")
         sizes = self.members.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), F.min("sid").alias("head"))
         single = sizes.where("m = 1").join(self.sets_of.select(F.col("sid").alias("head"), "parity"), "head").select("gid", "parity", F.lit(None).cast("binary").alias("any"))
         #: Members of groups that hold several sets, with the group's size.
         self.several = scratch.write(self.members.join(sizes.where("m > 1").select("gid", "m"), "gid").join(self.sets_of.select("sid", "n", "parity"), "sid"), "several")
         folded = _fold(self.several.select("gid", "parity")).select("gid", F.col("both").alias("parity"), "any")
-        self.bitmaps = single.unionByName(folded)
+        self.bitmaps = scratch.write(single.unionByName(folded), "bitmaps")
         self.sets: DataFrame | None = None
 
     def group_rows(self, comps: DataFrame | None = None) -> DataFrame:
@@ -523,14 +523,14 @@ def near_duplicates(df: DataFrame, width: int = 5, pct: int = 80, id_col: str =
     scratch = scratch or Scratch(df.sparkSession, "setjoin")
     join = _Join(df, width, pct, id_col, text_col, scratch)
     roots = _roots(join)
-    scratch.keep_only("scan", "roots", "final")
+    scratch.keep_only("scan", "distinct", "roots", "final")
     documents = join.documents
     # ids of components are smallest document ids; sets that are linked with none keep their own
     linked = salted_join(roots.withColumnRenamed("node", "sid").join(join.sets_of.select("sid", "low"), "sid"), _lowest(roots, join.sets_of), "root", "sid")
     named = join.sets_of.select("sid", "low").join(linked.select("sid", "component_id"), "sid", "left").select("sid", F.coalesce("component_id", "low").alias("component_id"))
     # sets with very many copies, at most 10,000 of them, go to the documents; the other documents go to their sets
     rows = documents.where("n > 0").select("doc_id", "n", "sid")
-    heavy = rows.groupBy("sid").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > max(1_000, join.n_documents // 10_000)).select("sid")
+    heavy = join.sets_of.where(F.col("copies") > max(1_000, join.n_documents // 10_000)).select("sid")
     light = rows.join(F.broadcast(heavy), "sid", "left_anti").join(named, "sid")
     out = rows.join(F.broadcast(named.join(heavy, "sid")), "sid").unionByName(light).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = documents.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
