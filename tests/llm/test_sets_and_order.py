@@ -523,6 +523,53 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert sorted((r["doc_id"], r["ids_crc32"]) for r in whole.collect()) == sorted((r["doc_id"], r["ids_crc32"]) for r in now.collect())
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Null, empty and very long texts, null and repeated ids, null sources, repeated rows, clashing columns; then empty tables."""
+    import corpus_pipeline
+
+    labels = labelled(spark, 60)[1]
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [
+        (None, None, None, None, None), (None, "the of and to in a is that " * 20, "en", "src0", 5), (1, None, "en", None, 0), (2, "", "en", "src1", 0), (2, "", "en", "src1", 0), (3, "the river of stone and quiet " * 30, "en", "nowhere", 7),
+        (3, "the river of stone and quiet " * 30, "en", "nowhere", 7), (4, "the river of stone and quiet " * 30, "en", "src0", 7), (5, "the of and to in is it was " * 60_000, "en", "src0", 9), (6, "mail a@b.org the of and in a " * 9, "en", "src2", 9),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    extra = ["sid", "n", "comp", "token", "root", "_gone", "_mix_slot", "block", "spans", "score", "i", "y", "_file", "window", "map"]
+    docs = docs.withColumns({c: F.lit(1) for c in extra[:-1]} | {"map": F.create_map(F.lit("a"), F.lit(1))})
+    now, columns = docs, docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        now = stage(spark, now, str(tmp_path))
+        if k < 4:
+            assert now.columns == columns, name
+        now.write.parquet(str(tmp_path / f"odd{k}"))
+        before, now = now, spark.read.parquet(str(tmp_path / f"odd{k}"))
+        if name == "near_duplicates":
+            ids = Counter(r["doc_id"] for r in now.collect())
+            assert ids[4] == 0 and {3, 5, 6} & set(ids) and ids[None] >= 1
+        if name == "personal_data":
+            assert not now.where(F.col("text").contains("@")).count() and now.where("text is null").count() == now.where("text is null and n_chars <=> coalesce(n_chars, n_chars)").count()
+    assert sum(r["length"] for r in now.collect() if r["doc_id"] == 5) > 4096 * 50
+    nothing = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, nothing, str(tmp_path))
+        assert got.count() == 0 and (name == "sequences" or got.columns == columns), name
+
+
+def test_pipeline_leaves_only_what_its_result_reads(spark, tmp_path):
+    import os
+
+    import corpus_pipeline
+
+    docs, labels = labelled(spark, 90)
+    docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("src1").alias("source"), F.lit(0).cast("long").alias("n_chars")).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    left = {name for d in set(os.listdir(folder)) - before for name in os.listdir(f"{folder}/{d}") if not name.startswith(".")}
+    assert {name.split("-")[0] for name in left} <= {"mixture", "seated"} and got.count() > 0
+
+
 def test_entry_guard_holds_without_the_subpackage():
     import subprocess
     import sys

@@ -569,5 +569,8 @@ def keep_one(df: DataFrame, width: int = 5, pct: int = 80, id_col: str = "doc_id
     Rows that share an id are kept or dropped together; rows without an id all stay."""
     scratch = Scratch(df.sparkSession, "setjoin")
     groups = near_duplicates(df, width, pct, id_col, text_col, scratch)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return df.join(gone.withColumnRenamed("doc_id", "_gone"), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    name = "_gone"
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    return df.join(gone, df[id_col].cast("long") == gone[name], "left_anti")
