@@ -23,10 +23,23 @@ def schema_of(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
+#: Rows of an Arrow batch: texts and sets of shingles are long, and a batch is held several times over on its way to Python.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session send batches of so many rows at most; a smaller setting of its own stays."""
+    name, most = BATCH_ROWS
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > most:
+        spark.conf.set(name, str(most))
+
+
 def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[[list[list]], list[tuple]]]) -> DataFrame:
     """Narrow Arrow map. ``start()`` runs once a task and returns a function from column
     lists to output rows; only ``df``'s own columns travel, so select first."""
     out = schema_of(schema)
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(out)
@@ -78,6 +91,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.paths = spark, f"{shared_folder(spark)}/weftmark-{name}-{uuid.uuid4().hex}", []
         _opened.append(self)
+        bound_batches(spark)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{len(self.paths)}"

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmark.llm.common import per_text
+from weftmark.llm.common import bound_batches, per_text
 
 KINDS = ("email", "ip", "card", "phone", "address", "account")
 BASE = KINDS[:4]
@@ -204,6 +204,7 @@ def redact_pii(df: DataFrame, text_col: str = "text", length_col: str | None = "
     ``length_col``, where there is one, follows the new text."""
     if text_col not in df.columns:
         raise ValueError(f"no column {text_col}")
+    bound_batches(df.sparkSession)
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
