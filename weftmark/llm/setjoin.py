@@ -290,18 +290,18 @@ def _pairs(rows: DataFrame, pct: int, total: int, best: int | None) -> DataFrame
             if m < 2:
                 continue
             starts = edges[width == m]
-            for some in np.array_split(starts, max(1, len(starts) * m * m // 2_000_000)):
+            for some in np.array_split(starts, max(1, len(starts) * m * m // 500_000)):
                 i, j = np.triu_indices(m, 1)
                 x, y = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
                 apart = (low[x] & high[y]) | (low[y] & high[x])  # one from each of the cell's two blocks
                 a, b = who[x[apart]], who[y[apart]]
                 held.append(np.minimum(a, b) * len(node) + np.maximum(a, b))
                 weight += len(a)
-                if weight > 4_000_000:
+                if weight > 1_000_000:
                     found, held, weight = settle(), [], 0
         keys = settle() if held or len(found) else found
         slacks = []
-        for some in np.array_split(keys, max(1, len(keys) // 200_000)):
+        for some in np.array_split(keys, max(1, len(keys) // 50_000)):
             a, b = some // len(node), some % len(node)
             apart = np.bitwise_count((bits[a] ^ bits[b]) & ~(apart_in[a] | apart_in[b])).sum(1, dtype=np.int64)
             both = size[a] + size[b]
