@@ -25,14 +25,19 @@ def schema_of(ddl: str) -> T.StructType:
 
 #: Rows of an Arrow batch: texts and sets of shingles are long, and a batch is held several times over on its way to Python.
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+#: Bytes of one; very long texts come in smaller batches.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Let the session send batches of so many rows at most; a smaller setting of its own stays."""
+    """Let the session send batches of so many rows and bytes at most; a smaller number of rows or its own bytes stay."""
     name, most = BATCH_ROWS
     now = int(spark.conf.get(name, "10000"))
     if now <= 0 or now > most:
         spark.conf.set(name, str(most))
+    name, most = BATCH_BYTES
+    if not spark.sparkContext.getConf().contains(name):
+        spark.conf.set(name, str(most))
 
 
 def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[[list[list]], list[tuple]]]) -> DataFrame:
