@@ -26,7 +26,7 @@ def schema_of(ddl: str) -> T.StructType:
 #: Rows of an Arrow batch: texts and sets of shingles are long, and a batch is held several times over on its way to Python.
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 #: Bytes of one; very long texts come in smaller batches.
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -65,7 +65,7 @@ class WordEncoder:
     which they never hold; all others through the full tokenizer, among them those with the strings of special tokens, which
     stand for these tokens."""
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 150_000):
         import tiktoken
         from tokenizers import Tokenizer
 

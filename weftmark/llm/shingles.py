@@ -22,7 +22,7 @@ class _Words(dict):
     """Hashes of words; starts afresh when it holds too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 100_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
