@@ -14,7 +14,7 @@ FORMS = ("NFC", "NFD", "NFKC", "NFKD")
 
 
 def normalize_unicode(col: Column, form: str = "NFC") -> Column:
-    """Normal form of a string column; a null stays null. Plain ASCII never leaves the JVM's fast path in the caller's plan."""
+    """Normal form of a string column; a null stays null. Every row goes through Python: Spark evaluates such functions for all rows."""
     if form not in FORMS:
         raise ValueError(f"no normal form {form}")
     return series(lambda s: U.normalize(form, s), "string")(col)
@@ -153,6 +153,8 @@ def idna_kind(c: str) -> str:
     """ignored, deviation, mapped, disallowed or valid, by the code point's properties."""
     if c in _DEVIATIONS:
         return "deviation"
+    if c in "\ufffc\ufffd":  # what replaces something else names nothing
+        return "disallowed"
     if _IGNORED.match(c):
         return "ignored"
     low = U.normalize("NFKC", U.normalize("NFKC", c).casefold())

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftmark import golden
 from weftmark.functions import css, encoding, text, url
 from weftmark.operators import cascade, dom, nodes
 from weftmark.plans import matching
@@ -53,7 +54,12 @@ def sql_rows(rows: list[tuple], names: str) -> str:
     def one(v) -> str:
         if v is None:
             return "NULL"
-        return str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+        if isinstance(v, (bool, int, float)):
+            return str(v).lower()
+        quoted = "'" + v.replace("'", "''") + "'"
+        for c in "\t\n\f\r":
+            quoted = quoted.replace(c, f"' || chr({ord(c)}) || '")
+        return quoted
 
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({names})"
 
@@ -153,14 +159,32 @@ for _name, _selector, _sql in (
     QUERIES[_name] = _selected
     ORACLE_SQL[_name] = f"SELECT page_id, CAST({_sql} AS BIGINT) AS n FROM pages WHERE {_sql} > 0"
 
-_PARSED = [("div  >p.a#b[ x = 'y' i ]", "div > p.a#b[x=\"y\"i]", 1, 2, 2), ("a:not(.b, #c)", "a:not(.b, #c)", 1, 0, 1), ("li:nth-child(even)", "li:nth-child(even)", 0, 1, 1), (":where(#a) b", ":where(#a) b", 0, 0, 1), ("a::after", "", None, None, None), ("p >", "", None, None, None), ("*", "*", 0, 0, 0), ("a:is(b, :bad)", "a:is(b)", 0, 0, 2)]
+@query(sql_rows(golden.SELECTORS, "selector, value, errors, a, b, c"))
+def selector_parse(spark, sf_dir):
+    """Normalised text, errors and specificity of selectors, read on the driver."""
+    rows = [(s, (p := S.parse(s)).value, "|".join(p.errors), *(S.list_specificity(s) or (None,) * 3)) for s, *_ in golden.SELECTORS]
+    return literal(spark, rows, "selector string, value string, errors string, a int, b int, c int")
 
 
-@query(sql_rows(_PARSED, "selector, value, a, b, c"))
-def selector_parse(spark, sf_dir):
-    """Normalised text and specificity of selectors, read on the driver."""
-    rows = [(s, S.parse(s).value, *(S.list_specificity(s) or (None,) * 3)) for s, *_ in _PARSED]
-    return literal(spark, rows, "selector string, value string, a int, b int, c int")
+@query(sql_rows([r for r in golden.MATCHES if r[1]], "selector, ids"))
+def selector_matches(spark, sf_dir):
+    """What each selector finds in one page, by compiled plans."""
+    page = nodes.html_nodes(literal(spark, [(1, golden.PAGE)], "page_id long, html string"))
+    out = None
+    for at in range(0, len(golden.MATCHES), 14):
+        compiler = matching.Compiler(page)
+        hits = [F.when(F.col(compiler.mark(c)), F.lit(s)) for s, _ in golden.MATCHES[at : at + 14] for c in S.parse(s).selectors]
+        found = compiler.df.select("node_id", F.coalesce(nodes.attr("attrs", "id"), F.col("tag")).alias("id"), F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("selector"))
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("selector").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "id"))), lambda x: x["id"]), " ").alias("ids"))
+
+
+@query(sql_rows(golden.TREES, "html, written, quirks"))
+def html_trees(spark, sf_dir):
+    """Tree construction: pages parsed and written back, with their mode."""
+    rows = literal(spark, [(k, r[0]) for k, r in enumerate(golden.TREES)], "page_id long, html string")
+    docs = nodes.html_docs(rows).select(F.col("doc_id").alias("page_id"), "quirks")
+    return rows.withColumn("written", nodes.serialize_html(F.col("html"))).join(docs, "page_id").select("html", "written", "quirks")
 
 
 # ---- DOM ----------------------------------------------------------------------------------------------------------------
@@ -196,28 +220,16 @@ def computed_style_p(spark, sf_dir):
     return styles.groupBy(F.col("doc_id").alias("page_id"), "style").agg(F.count(F.lit(1)).alias("n"))
 
 
-_DECLARED = [
-    ("WIDTH: 10PX !important", "property", "WIDTH", "10px", True), ("color: RGB(1,2,3)", "property", "color", "rgb(1, 2, 3)", False), ("padding: auto", "undef", "padding", "auto", False),
-    ("margin: auto 0 -1px", "property", "margin", "auto 0 -1px", False), ("--x: 1", "custom", "--x", "1", False), ("nonsense", "undef", "", "nonsense", False),
-    ("border: 1px solid Red", "property", "border", "1px solid red", False), ("font-family: Arial, 'Two Words'", "property", "font-family", 'Arial, "Two Words"', False),
-    ("float: snap-block(2em, near)", "property", "float", "snap-block(2em, near)", False), ("z-index: 9223372036854775808", "undef", "z-index", "9223372036854775808", False),
-    ("vertical-align: 5px baseline first", "property", "vertical-align", "first baseline 5px", False), ("opacity: 1.50e1", "property", "opacity", "15", False),
-]
-
-
-@query(sql_rows(_DECLARED, "css, type, name, value, important"))
+@query(sql_rows(golden.DECLARATIONS, "css, type, name, value, important"))
 def css_declared(spark, sf_dir):
-    rows = literal(spark, [(r[0],) for r in _DECLARED], "css string")
+    rows = literal(spark, [(c,) for c in dict.fromkeys(r[0] for r in golden.DECLARATIONS)], "css string")
     return rows.select("css", F.inline(css.css_declarations(F.col("css"))))
 
 
-_TOKENS = "a{b:+1.50E1px url( x ) \"q\" #f1 @m 5% /*c*/"
-_TOKEN_ROWS = [(0, "ident", "a", 1), (1, "left-curly-bracket", "{", 1), (2, "ident", "b", 1), (3, "colon", ":", 1), (4, "dimension", "15px", 9), (5, "whitespace", " ", 1), (6, "url", "url(x)", 8), (7, "whitespace", " ", 1), (8, "string", '"q"', 3), (9, "whitespace", " ", 1), (10, "hash", "#f1", 3), (11, "whitespace", " ", 1), (12, "at-keyword", "@m", 2), (13, "whitespace", " ", 1), (14, "percentage", "5%", 2), (15, "whitespace", " ", 1), (16, "comment", "/*c*/", 5)]
-
-
-@query(sql_rows(_TOKEN_ROWS, "ord, type, value, length"))
+@query(sql_rows(golden.TOKENS, "css, ranges, ord, type, value, length"))
 def css_tokens(spark, sf_dir):
-    return css.token_rows(literal(spark, [(1, _TOKENS)], "id long, css string"), "id", "css").drop("id")
+    rows = literal(spark, list(dict.fromkeys(r[:2] for r in golden.TOKENS)), "css string, ranges boolean")
+    return rows.select("css", "ranges", F.posexplode(css.css_tokens(F.col("css"), F.col("ranges"))).alias("ord", "t")).select("css", "ranges", "ord", "t.*")
 
 
 @query("SELECT page_id, 1 AS rule_id, 0 AS parent_rule_id, 'p' AS prelude, 'margin:0' AS declarations FROM pages")
@@ -226,13 +238,10 @@ def css_page_rules(spark, sf_dir):
     return css.css_rules(sheets, "doc_id", "css").select(F.col("sheet_id").alias("page_id"), "rule_id", "parent_rule_id", "prelude", "declarations")
 
 
-_ANB = [("odd", "odd"), ("EVEN", "even"), ("-n + 3", "-n+3"), ("+5", "0n+5"), ("n-0", "+n"), ("x", "")]
-
-
-@query(sql_rows(_ANB, "src, value"))
+@query(sql_rows(golden.FORMULAS, "src, value, errors"))
 def css_an_plus_b(spark, sf_dir):
-    rows = literal(spark, [(r[0],) for r in _ANB], "src string")
-    return rows.select("src", css.css_an_plus_b(F.col("src"))["value"].alias("value"))
+    rows = literal(spark, [(r[0],) for r in golden.FORMULAS], "src string")
+    return rows.select("src", css.css_an_plus_b(F.col("src")).alias("f")).select("src", "f.value", F.array_join("f.errors", "|").alias("errors"))
 
 
 # ---- encodings ------------------------------------------------------------------------------------------------------------
@@ -242,6 +251,22 @@ def charset_sniff(spark, sf_dir):
     return raw.select("page_id", encoding.sniff_encoding(F.col("raw")).alias("encoding"), encoding.bom_sniff(F.col("raw")).alias("bom"))
 
 
+@query(sql_rows(golden.CHARSETS, "html, labels, prescanned, encoding"))
+def charset_meta(spark, sf_dir):
+    """Declared labels, the prescan's choice and the final encoding."""
+    raw = F.encode("html", "UTF-8")
+    rows = literal(spark, [(r[0],) for r in golden.CHARSETS], "html string")
+    return rows.select("html", F.array_join(encoding.sniff_meta(raw), "|").alias("labels"), encoding.sniff_prescan(raw).alias("prescanned"), encoding.sniff_encoding(raw).alias("encoding"))
+
+
+@query(sql_rows(golden.POINTS, "hex, points, shape"))
+def utf8_points(spark, sf_dir):
+    """Code points of UTF-8, strictly and by the shape of lead bytes."""
+    text_of = lambda c: F.array_join(c.cast("array<string>"), ",")
+    rows = literal(spark, [(r[0],) for r in golden.POINTS], "hex string")
+    return rows.select("hex", text_of(encoding.decode_utf8_points(F.unhex("hex"))).alias("points"), text_of(encoding.decode_utf8_shape(F.unhex("hex"))).alias("shape"))
+
+
 @query("SELECT page_id, html FROM pages")
 def utf16_roundtrip(spark, sf_dir):
     raw = pages(spark, sf_dir).select("page_id", encoding.encode_text(F.col("html"), "utf-16be").alias("raw"))
