@@ -1,6 +1,7 @@
 """Small tables of inputs and of what must come out of them, for the registered queries that read no driver table.
 
-Plain values. They record behaviour that was held against the published expectations for inputs of the same kinds."""
+Plain values, written out by this engine after its behaviour had been held against published expectations for inputs of the
+same kinds, and read through once. They guard against change; an independent oracle would be stronger evidence."""
 
 from __future__ import annotations
 
