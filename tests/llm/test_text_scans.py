@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +100,32 @@ def test_fertility_bands_are_learnt_for_each_group(spark):
     assert not by[2000]["kept"] and not by[2001]["kept"] and by[2002]["group"] == "xx" and by[2003]["kept"] and by[None]["kept"] and by[2004]["group"] == "latin"
 
 
+def test_fertility_quartiles_are_those_of_all_rows(spark):
+    """Every row that passes the base rules counts, whatever its id: 6,600 rows, a fifth of them with null or repeated ids."""
+    draw = random.Random(8)
+    data = [(None if k % 10 == 0 else 7 if k % 10 == 1 else k, prose(draw, draw.randint(5, 20)), "en") for k in range(6_600)] + [(9_000, "of the", "en")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    names = fertility_vocabularies()
+    got = fertility.measured(df, names, 5, 100, "doc_id", "text", "lang").cache()
+    (learnt,) = fertility.learnt_quartiles(got, list(names)).collect()
+    passed = [r for r in got.collect() if not r["base_failed"]]
+    assert len(passed) == 6_600 and learnt["group"] == "en"
+    wanted = [[f(r[f"{v}_{c}"]) for r in passed] for v in names for c, f in (("chars_per_token", float), ("byte_share", float), ("evenness", float), ("tokens", math.log2))]
+    for values, quartiles in zip(wanted, learnt["quartiles"], strict=True):
+        assert np.allclose(np.quantile(values, [0.25, 0.5, 0.75]), quartiles, rtol=0, atol=0.51 / fertility.GRID)
+    got.unpersist()
+
+
+def test_fertility_verdict_counts_every_row(spark):
+    """Rows without an id shape the bands too; a sample of ids would have left them out."""
+    draw = random.Random(9)
+    codes = lambda n: " ".join("".join(draw.choices("qxzvkjw", k=7)) for _ in range(n))
+    data = [(None, codes(120), "zz") for _ in range(300)] + [(1, codes(120), "zz"), (2, prose(draw, 120), "zz")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    by = {r["doc_id"]: r for r in fertility.fertility(df, fertility_vocabularies(), lang_col="lang", max_repeat_pct=100).collect()}
+    assert by[1]["kept"] and not by[2]["kept"]
+
+
 def test_fertility_separates_prose_from_noise(spark):
     text = "The quick brown fox jumps over the lazy dog while seven bright ideas wander through quiet streets, " * 1
     text += " ".join(f"sentence about topic number {k} with some other plain vocabulary inside" for k in range(12))
