@@ -439,6 +439,23 @@ def test_components(spark):
     assert {(r["node"], r["root"]) for r in got} == {(x, find(x)) for a, b in edges if a != b for x in (a, b)}
 
 
+def test_component_rounds_broadcast_nothing(spark, monkeypatch):
+    """Each round is one plan without broadcasts, which would pass through the driver; the session's setting comes back."""
+    plans, write = [], Scratch.write
+
+    def seen(self, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df, name)
+
+    monkeypatch.setattr(Scratch, "write", seen)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(20, 21)], "a long, b long")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    got = {tuple(r) for r in components.components(edges, Scratch(spark, "test")).collect()}
+    assert got == {(k, 0) for k in range(10)} | {(20, 20), (21, 20)}
+    assert plans and not any("Broadcast" in p or "AdaptiveSparkPlan" in p for p in plans)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before
+
+
 # ---- nearest neighbours
 def test_nearest(spark):
     draw = np.random.default_rng(2)
